@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, packing, simhash, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (substring_dedup, decontaminate, packing, simhash)
 
 
 def queries():
