@@ -87,6 +87,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def groups(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of one string column, or of one row."""
+    for batch in batches:
+        offsets, _ = utf8(batch.column(column))
+        for a, b in chunks(offsets, limit):
+            yield batch.slice(a, b - a)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, makes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and where each document's words begin (one more entry than documents)."""
     inside = makes[data]

@@ -1,9 +1,9 @@
 """Exact substring deduplication by Rabin-Karp hashes of every fixed-length word window.
 
-1. Each task hashes all windows of its documents. Within an Arrow batch a window
-   that a smaller doc_id of the same batch also has is decided on the spot; of the
-   others one entry a hash and batch is sent on, so a window that a third of the
-   corpus holds costs one entry a batch and not one a document.
+1. Each task hashes all windows of its documents. Within a group of some MB of text a
+   window that a smaller doc_id of the group also has is decided on the spot; of the
+   others one entry a hash and group is sent on, so a window that a third of the
+   corpus holds costs one entry a group and not one a document.
 2. Entries meet by hash. The owner of a window is the smallest doc_id that has it;
    every other entry goes back to its document.
 3. Documents meet their repeated windows by doc_id, windows merge into maximal
@@ -23,11 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, by_value, chunks, covered, partitions_for, ragged, runs, table, utf8, window_hashes, word_hashes, words
+from .common import NON_SPACE, by_value, chunks, covered, groups, partitions_for, ragged, runs, table, utf8, window_hashes, word_hashes, words
 
 WINDOW = 13
 BUCKETS = 256
-#: Rows of one batch; a power of two well under Spark's own, to bound the windows held at once.
+#: Text whose windows are held at once.
+GROUP_BYTES = 8 << 20
 _ENTRY = pa.schema([("__bucket", pa.int32()), ("__doc", pa.int64()), ("__text", pa.int64()), ("__blob", pa.binary())])
 _FLAG = pa.schema([("__doc", pa.int64()), ("__text", pa.int64()), ("__blob", pa.binary())])
 
@@ -51,7 +52,7 @@ def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _entries(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in groups(batches, 2, GROUP_BYTES):
             rows = pa.Table.from_batches([batch]).filter(pa.compute.is_valid(batch.column(0))).sort_by("__doc").combine_chunks()
             if not rows.num_rows:
                 continue
@@ -163,38 +164,35 @@ def _remove(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, _ = utf8(batch.column("__words"))
-            for a, b in chunks(offsets, 8 << 20):
-                part = batch.slice(a, b - a)
-                h, _, row, counts = _windows(part.column("__words"), size)
-                bounds = np.searchsorted(row, np.arange(b - a + 1))
-                own = part.column("__text").to_pylist()
-                kept, gone, cuts = [], [], []
-                for i, (text, flags) in enumerate(zip(part.column("__words"), part.column("__flags"), strict=True)):
-                    found = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                    mask = None
-                    if flags.is_valid and bounds[i] < bounds[i + 1]:
-                        mine = h[bounds[i] : bounds[i + 1]]
-                        hit, sent = np.zeros(len(mine), bool), []
-                        for flag in flags.values:
-                            blob, of = flag["__blob"].as_buffer(), flag["__text"].as_py()
-                            if of is None:
-                                sent.append(np.frombuffer(blob, np.uint64))
-                            elif of == own[i]:
-                                for x, y in np.frombuffer(blob, np.int32).reshape(-1, 2):
-                                    hit[x:y] = True
-                        if sent:
-                            hit |= np.isin(mine, np.concatenate(sent))
-                        mask = covered(np.flatnonzero(hit), size, len(found))
-                        kept.append(b" ".join([w for w, m in zip(found, mask.tolist(), strict=True) if not m]).decode())
-                        gone.append(int(mask.sum()))
-                        cuts.append(runs(mask).tolist())
-                    else:
-                        kept.append(b" ".join(found).decode())
-                        gone.append(0)
-                        cuts.append([])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, schema.field(4).type)], schema=schema)
+        for part in groups(batches, 2, GROUP_BYTES // 2):
+            h, _, row, counts = _windows(part.column("__words"), size)
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+            own = part.column("__text").to_pylist()
+            kept, gone, cuts = [], [], []
+            for i, (text, flags) in enumerate(zip(part.column("__words"), part.column("__flags"), strict=True)):
+                found = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                mask = None
+                if flags.is_valid and bounds[i] < bounds[i + 1]:
+                    mine = h[bounds[i] : bounds[i + 1]]
+                    hit, sent = np.zeros(len(mine), bool), []
+                    for flag in flags.values:
+                        blob, of = flag["__blob"].as_buffer(), flag["__text"].as_py()
+                        if of is None:
+                            sent.append(np.frombuffer(blob, np.uint64))
+                        elif of == own[i]:
+                            for x, y in np.frombuffer(blob, np.int32).reshape(-1, 2):
+                                hit[x:y] = True
+                    if sent:
+                        hit |= np.isin(mine, np.concatenate(sent))
+                    mask = covered(np.flatnonzero(hit), size, len(found))
+                    kept.append(b" ".join([w for w, m in zip(found, mask.tolist(), strict=True) if not m]).decode())
+                    gone.append(int(mask.sum()))
+                    cuts.append(runs(mask).tolist())
+                else:
+                    kept.append(b" ".join(found).decode())
+                    gone.append(0)
+                    cuts.append([])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, schema.field(4).type)], schema=schema)
 
     return run
 
