@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, substring_dedup
+from . import decontaminate, importance, langid, packing, secrets, simhash, substring_dedup
 
-MODULES = (substring_dedup, decontaminate, packing, simhash)
+MODULES = (langid, substring_dedup, decontaminate, packing, secrets, simhash, importance)
 
 
 def queries():
