@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, importance, langid, packing, secrets, simhash, substring_dedup
+from . import decontaminate, importance, langid, packing, pii, secrets, simhash, substring_dedup
 
-MODULES = (langid, substring_dedup, decontaminate, packing, secrets, simhash, importance)
+MODULES = (langid, substring_dedup, decontaminate, packing, secrets, pii, simhash, importance)
 
 
 def queries():
