@@ -36,7 +36,15 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+#: Rows of an Arrow batch at most where rows are whole texts.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. Its rows are large, so fewer of them than usual make an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,11 +96,23 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def groups(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``limit`` bytes of one string column, or of one row."""
+    """The rows in order, in batches of about ``limit`` bytes of one string column, or of one row."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            for a, b in chunks(utf8(whole.column(column))[0], limit):
+                yield whole.slice(a, b - a)
+
+    held, size = [], 0
     for batch in batches:
-        offsets, _ = utf8(batch.column(column))
-        for a, b in chunks(offsets, limit):
-            yield batch.slice(a, b - a)
+        if batch.num_rows:
+            held.append(batch)
+            size += len(utf8(batch.column(column))[1])
+            if size >= limit:
+                yield from cut(held)
+                held, size = [], 0
+    yield from cut(held)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, makes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +175,6 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nda
     return mix(rolling(hashes, first, first + size, _WORD_BASE)), first, doc
 
 
-def ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary column whose rows hold counts[i] items of ``values`` each."""
-    offsets = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts * values.itemsize, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def covered(first: np.ndarray, length: np.ndarray | int, n: int) -> np.ndarray:
     """Which of n words lie in any of the intervals [first, first + length)."""
     change = np.zeros(n + 1, np.int32)

@@ -6,8 +6,9 @@
    corpus holds costs one entry a group and not one a document.
 2. Entries meet by hash. The owner of a window is the smallest doc_id that has it;
    every other entry goes back to its document.
-3. Documents meet their repeated windows by doc_id, windows merge into maximal
-   removal intervals, and the words outside of them are kept.
+3. Documents meet their repeated windows in groups of documents, so that what is sent
+   back is one row a group and task. Windows merge into maximal removal intervals, and
+   the words outside of them are kept.
 
 The hash has 64 bits: a window out of N is wrongly seen as repeated with a chance
 of about N / 2**64. Entries pack 7 bytes of hash, as the eighth is the bucket.
@@ -23,14 +24,24 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, by_value, chunks, covered, groups, partitions_for, ragged, runs, table, utf8, window_hashes, word_hashes, words
+from .common import NON_SPACE, by_value, chunks, covered, groups, partitions_for, runs, table, utf8, window_hashes, word_hashes, words
 
 WINDOW = 13
 BUCKETS = 256
 #: Text whose windows are held at once.
 GROUP_BYTES = 8 << 20
-_ENTRY = pa.schema([("__bucket", pa.int32()), ("__doc", pa.int64()), ("__text", pa.int64()), ("__blob", pa.binary())])
-_FLAG = pa.schema([("__doc", pa.int64()), ("__text", pa.int64()), ("__blob", pa.binary())])
+_ENTRY = pa.schema([("__bucket", pa.int32()), ("__to", pa.int32()), ("__blob", pa.binary())])
+_FLAG = pa.schema([("__to", pa.int32()), ("__local", pa.bool_()), ("__blob", pa.binary())])
+
+
+def _group_of(ids: np.ndarray, groups_: int) -> np.ndarray:
+    """The group of documents that an id belongs to; ``_group_column`` is the same in Spark."""
+    return np.mod(ids ^ (ids >> 7) ^ (ids >> 17), groups_).astype(np.int32)
+
+
+def _group_column(name: str, groups_: int):
+    c = F.col(name)
+    return F.pmod(c.bitwiseXOR(F.shiftright(c, 7)).bitwiseXOR(F.shiftright(c, 17)), F.lit(groups_).cast("long")).cast("int")
 
 
 def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +60,7 @@ def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return *(np.concatenate(x) for x in zip(*out, strict=True)), counts
 
 
-def _entries(size: int):
+def _entries(size: int, to_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in groups(batches, 2, GROUP_BYTES):
@@ -58,7 +69,7 @@ def _entries(size: int):
                 continue
             ids = rows.column("__doc").to_numpy()
             texts = rows.column("__text").to_numpy()
-            h, first, row, _ = _windows(rows.column("__words"), size)
+            h, _, row, _ = _windows(rows.column("__words"), size)
             order = np.argsort(h, kind="stable")  # rows ascend by doc_id, so the first of a hash is its smallest
             hs, rs = h[order], row[order]
             new = np.ones(len(hs), bool)
@@ -66,12 +77,10 @@ def _entries(size: int):
             owner = ids[rs[new]][np.cumsum(new) - 1] if len(hs) else np.zeros(0, np.int64)
             local = np.zeros(len(h), bool)
             local[order] = ids[rs] > owner
-            flagged = _by_row(local, first, row, len(ids))
-            if flagged:
-                at, blobs = zip(*flagged, strict=True)
-                at = np.array(at)
-                # spread over buckets by document: these rows only pass through
-                yield pa.RecordBatch.from_arrays([pa.array((ids[at] % BUCKETS).astype(np.int32)), pa.array(ids[at]), pa.array(texts[at]), pa.array(blobs, pa.binary())], schema=_ENTRY)
+            if local.any():
+                to, blobs = _local(local, row, ids, texts, to_groups)
+                # these rows are decided: they only pass through, dealt out by their group
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(to), pa.array(blobs, pa.binary())], schema=_ENTRY)
             hs, docs = hs[new], ids[rs[new]]
             bucket = (hs & np.uint64(BUCKETS - 1)).astype(np.int32)
             order = np.lexsort((docs, bucket))
@@ -82,19 +91,21 @@ def _entries(size: int):
                 if x < y:
                     found.append(bucket[x])
                     blobs.append(_pack(hs[x:y], docs[x:y], squeeze))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(blobs, pa.binary())], schema=_ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.nulls(len(found), pa.int32()), pa.array(blobs, pa.binary())], schema=_ENTRY)
 
     return run
 
 
-def _by_row(local: np.ndarray, first: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[int, bytes]]:
-    """For each row with flagged windows: runs of their first words."""
-    out = []
-    bounds = np.searchsorted(row, np.arange(rows + 1))
-    totals = np.concatenate(([0], np.cumsum(local)))[bounds]
-    for r in np.flatnonzero(np.diff(totals)):
-        out.append((r, runs(local[bounds[r] : bounds[r + 1]]).astype(np.int32).tobytes()))
-    return out
+def _local(local: np.ndarray, row: np.ndarray, ids: np.ndarray, texts: np.ndarray, to_groups: int) -> tuple[np.ndarray, list[bytes]]:
+    """For each group of documents: (id, text hash, number of runs, runs of flagged windows) one after another."""
+    bounds = np.searchsorted(row, np.arange(len(ids) + 1))
+    rows = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(local)))[bounds]))
+    to = _group_of(ids[rows], to_groups)
+    out: dict[int, list] = {}
+    for r, g in zip(rows.tolist(), to.tolist(), strict=True):
+        found = runs(local[bounds[r] : bounds[r + 1]])
+        out.setdefault(g, []).append(np.concatenate(([ids[r], texts[r], len(found)], found.ravel())).astype(np.int64))
+    return np.array(list(out), np.int32), [np.concatenate(x).tobytes() for x in out.values()]
 
 
 def _pack(hs: np.ndarray, docs: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -122,20 +133,27 @@ def _unpack(blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
     return hs.view(np.uint64).ravel(), docs
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sends back each window whose owner is another document; what is decided passes through."""
-    hs, docs = [], []
-    for batch in batches:
-        decided = pa.compute.is_valid(batch.column(1))
-        if passed := batch.filter(decided):
-            yield pa.RecordBatch.from_arrays(passed.columns[1:], schema=_FLAG)
-        rest = batch.filter(pa.compute.invert(decided))
-        for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(3), strict=True):
-            h, d = _unpack(memoryview(blob.as_buffer()))
-            hs.append((h << np.uint64(8)) | np.uint64(bucket))
-            docs.append(d)
-    if not hs:
-        return
+def _owners(to_groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sends back each window whose owner is another document; what is decided passes through."""
+        hs, docs = [], []
+        for batch in batches:
+            decided = pa.compute.is_valid(batch.column(1))
+            if passed := batch.filter(decided):
+                yield pa.RecordBatch.from_arrays([passed.column(1), pa.array([True] * len(passed)), passed.column(2)], schema=_FLAG)
+            rest = batch.filter(pa.compute.invert(decided))
+            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(2), strict=True):
+                h, d = _unpack(memoryview(blob.as_buffer()))
+                hs.append((h << np.uint64(8)) | np.uint64(bucket))
+                docs.append(d)
+        if hs:
+            yield from _sent(hs, docs, to_groups)
+
+    return run
+
+
+def _sent(hs: list, docs: list, to_groups: int) -> Iterator[pa.RecordBatch]:
+    """For each group of documents: how many ids, the ids, how many hashes each, the hashes."""
     h, d = np.concatenate(hs), np.concatenate(docs)
     hs.clear(), docs.clear()
     order = np.argsort(h)
@@ -149,41 +167,45 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(new)
     back = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(d)))) if len(at) else np.zeros(0, bool)
     h, d = h[back], d[back]
-    order = np.argsort(d, kind="stable")
-    h, d = h[order], d[order]
-    ids, counts = np.unique(d, return_counts=True)
-    done = 0
-    for a in range(0, len(ids), 50_000):
-        n = counts[a : a + 50_000]
-        part = h[done : done + n.sum()]
-        done += n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 50_000]), pa.nulls(len(n), pa.int64()), ragged(part, n)], schema=_FLAG)
+    to = _group_of(d, to_groups)
+    order = np.lexsort((d, to))
+    h, d, to = h[order], d[order], to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    groups_, blobs = [], []
+    for x, y in zip(np.concatenate(([0], cuts)), np.append(cuts, len(to)), strict=True):
+        if x < y:
+            ids, counts = np.unique(d[x:y], return_counts=True)
+            groups_.append(to[x])
+            blobs.append(np.concatenate(([len(ids)], ids, counts, h[x:y].view(np.int64))).astype(np.int64).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(groups_, pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], schema=_FLAG)
 
 
 def _remove(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, 2, GROUP_BYTES // 2):
-            h, _, row, counts = _windows(part.column("__words"), size)
+        """Rows sorted by group, flags before documents; flags are dropped with their group."""
+        sent: dict[int, list] = {}
+        local: dict[tuple[int, int], np.ndarray] = {}
+        for part in groups(batches, 5, GROUP_BYTES // 2):
+            last = part.column(0)[-1].as_py()
+            flags = part.filter(pa.compute.equal(part.column(1), 0))
+            for of_local, blob, group in zip(flags.column(2).to_pylist(), flags.column(6), flags.column(0).to_pylist(), strict=True):
+                _read(np.frombuffer(blob.as_buffer(), np.int64), of_local, group, sent, local)
+            part = part.filter(pa.compute.equal(part.column(1), 1))
+            h, _, row, counts = _windows(part.column(5), size)
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-            own = part.column("__text").to_pylist()
             kept, gone, cuts = [], [], []
-            for i, (text, flags) in enumerate(zip(part.column("__words"), part.column("__flags"), strict=True)):
+            for i, (doc, key, text) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5), strict=True)):
                 found = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                mask = None
-                if flags.is_valid and bounds[i] < bounds[i + 1]:
-                    mine = h[bounds[i] : bounds[i + 1]]
-                    hit, sent = np.zeros(len(mine), bool), []
-                    for flag in flags.values:
-                        blob, of = flag["__blob"].as_buffer(), flag["__text"].as_py()
-                        if of is None:
-                            sent.append(np.frombuffer(blob, np.uint64))
-                        elif of == own[i]:
-                            for x, y in np.frombuffer(blob, np.int32).reshape(-1, 2):
-                                hit[x:y] = True
-                    if sent:
-                        hit |= np.isin(mine, np.concatenate(sent))
+                mine = h[bounds[i] : bounds[i + 1]]
+                hit = np.zeros(len(mine), bool)
+                if doc is not None and len(mine):
+                    for x, y in local.get((doc, key), (0, ()))[1]:
+                        hit[x:y] = True
+                    if doc in sent:
+                        hit |= np.isin(mine, np.concatenate(sent[doc][1]))
+                if hit.any():
                     mask = covered(np.flatnonzero(hit), size, len(found))
                     kept.append(b" ".join([w for w, m in zip(found, mask.tolist(), strict=True) if not m]).decode())
                     gone.append(int(mask.sum()))
@@ -192,11 +214,27 @@ def _remove(size: int):
                     kept.append(b" ".join(found).decode())
                     gone.append(0)
                     cuts.append([])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, schema.field(4).type)], schema=schema)
+            sent, local = {k: v for k, v in sent.items() if v[0] == last}, {k: v for k, v in local.items() if v[0] == last}
+            yield pa.RecordBatch.from_arrays([part.column(3), pa.array(counts), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(cuts, schema.field(4).type)], schema=schema)
 
     return run
 
 
+def _read(blob: np.ndarray, of_local: bool, group: int, sent: dict, local: dict) -> None:
+    if of_local:
+        at = 0
+        while at < len(blob):
+            doc, key, n = blob[at : at + 3].tolist()
+            local.setdefault((doc, key), (group, blob[at + 3 : at + 3 + 2 * n].reshape(-1, 2).tolist()))
+            at += 3 + 2 * n
+    else:
+        n = int(blob[0])
+        hashes = blob[1 + 2 * n :].view(np.uint64)
+        ends = np.cumsum(blob[1 + n : 1 + 2 * n])
+        for doc, start, end in zip(blob[1 : 1 + n].tolist(), np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+            sent.setdefault(doc, (group, []))[1].append(hashes[start:end])
+
+
 def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and removed ([start, end) word intervals) of each row.
 
@@ -206,13 +244,17 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     Repeated ids: not smaller than each other, so rows of one id never remove one
     another. Other columns play no part. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__words"), F.xxhash64(text_col).alias("__text"))
     parts = partitions_for(docs)
-    found = rows.select(F.col("doc_id").alias("__doc"), "__text", "__words").mapInArrow(_entries(size), "__bucket int, __doc long, __text long, __blob binary")
-    flags = found.repartition(parts, "__bucket").mapInArrow(_owners, "__doc long, __text long, __blob binary")
-    flags = flags.groupBy("__doc").agg(F.collect_list(F.struct("__text", "__blob")).alias("__flags"))
-    joined = rows.join(flags, rows.doc_id == flags["__doc"], "left").select("doc_id", "__text", "__words", "__flags")
-    return joined.mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>")
+    to_groups = 8 * parts + 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__words"))
+    found = rows.select(F.col("doc_id").alias("__doc"), "__text", "__words").mapInArrow(_entries(size, to_groups), "__bucket int, __to int, __blob binary")
+    flags = found.repartition(parts, "__bucket").mapInArrow(_owners(to_groups), "__to int, __local boolean, __blob binary")
+    no = lambda kind: F.lit(None).cast(kind)
+    flags = flags.select("__to", F.lit(0).alias("__kind"), "__local", no("long").alias("doc_id"), no("long").alias("__text"), no("string").alias("__words"), "__blob")
+    group = F.coalesce(_group_column("doc_id", to_groups), _group_column("__text", to_groups))
+    texts = rows.select(group.alias("__to"), F.lit(1).alias("__kind"), no("boolean").alias("__local"), "doc_id", "__text", "__words", no("binary").alias("__blob"))
+    met = flags.union(texts).repartition(parts, "__to").sortWithinPartitions("__to", "__kind")
+    return met.mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
