@@ -11,6 +11,7 @@ shuffle, memory bounded by a batch, and a lost task packs the same batch again.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,61 +21,139 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, chunks, table, utf8, word_hashes, words
+from .common import by_value, chunks, groups, mix, rolling, table, utf8
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Text packed together at most (one longer document is packed alone), and words remembered by a worker.
+#: Text packed together, about (one longer document is packed alone), and words a worker remembers.
 GROUP_BYTES = 16 << 20
-REMEMBERED = 200_000
-#: Only these bytes end a word, a part of what the tokenizer itself takes for white space.
-PARTS = np.ones(256, bool)
-PARTS[[32, 10]] = False
+REMEMBERED = 1_000_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_BLANK, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 _WORKER: dict = {}
 
 
-def _tokenizer(path: str):
-    if _WORKER.get("path") != path:
+def _classes() -> np.ndarray:
+    """Of each character of the basic plane: what the tokenizer's own splitting makes of it.
+
+    Letters, single digits and runs of ASCII signs are tokens of their own there. What this can't
+    tell for sure (apostrophes, other white space, marks, all else past ASCII) leaves the part
+    between two blanks whole, to be split by the tokenizer.
+    """
+    if "classes" not in _WORKER:
+        out = np.full(1 << 16, _WHOLE, np.uint8)
+        for c in range(1 << 16):
+            if chr(c).isalpha():
+                out[c] = _LETTER
+        for c in range(33, 127):
+            if out[c] != _LETTER and chr(c) != "'":
+                out[c] = _DIGIT if chr(c).isdigit() else _SIGN
+        out[[32, 10]] = _BLANK
+        _WORKER["classes"] = out
+    return _WORKER["classes"]
+
+
+class _Words:
+    """Ids of words, encoded once and kept in arrays sorted by hash."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _WORKER.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
-    return _WORKER["tokenizer"], _WORKER["known"]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, simple: list[str], whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the simple words and then of the whole parts, one after another; and how many each has."""
+        got = np.array(self.tokenizer.encode_batch_fast(["\n".join(simple)], add_special_tokens=False)[0].ids, np.uint32) if simple else np.zeros(0, np.uint32)
+        last = np.flatnonzero(self.ends[got]) if len(got) else np.zeros(0, np.int64)
+        if len(last) == len(simple) and (not len(got) or last[-1] == len(got) - 1):
+            sizes = np.diff(last, prepend=-1)
+        else:
+            whole, got, sizes = simple + whole, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        more = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)] if whole else []
+        return np.concatenate((got, *[np.array(x, np.uint32) for x in more])), np.concatenate((sizes, [len(x) for x in more])).astype(np.int64)
+
+    def look_up(self, hashes: np.ndarray, text, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each (ascending, distinct) word's ids begin, and how many there are."""
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = place < len(self.hashes)
+        new[inside] = self.hashes[place[inside]] != hashes[inside]
+        fresh = np.flatnonzero(new)
+        if len(fresh):
+            order = np.concatenate((fresh[simple[fresh]], fresh[~simple[fresh]]))
+            ids, sizes = self._encode([text(k) for k in fresh[simple[fresh]].tolist()], [text(k) for k in fresh[~simple[fresh]].tolist()])
+            at = np.cumsum(sizes) - sizes + len(self.ids)
+            back = np.argsort(order)
+            self.ids = np.concatenate((self.ids, ids))
+            where = place[fresh]
+            self.hashes = np.insert(self.hashes, where, hashes[fresh])
+            self.at = np.insert(self.at, where, at[back])
+            self.sizes = np.insert(self.sizes, where, sizes[back])
+            place = np.searchsorted(self.hashes, hashes)
+        return self.at[place], self.sizes[place]
 
 
 def _token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
-    """Each row's ids. A text's ids are those of its parts between blanks, each encoded once."""
-    tokenizer, known = _tokenizer(path)
+    """Each row's ids: those of its words, one after another."""
+    if _WORKER.get("path") != path:
+        _WORKER.update(path=path, words=_Words(path))
+    known = _WORKER["words"]
     offsets, data = utf8(column)
     out: list[np.ndarray] = []
     for a, b in chunks(offsets):
         raw = data[offsets[a] : offsets[b]]
-        starts, ends, at = words(raw, offsets[a : b + 1] - offsets[a], PARTS)
-        hashes, first, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = range(len(keys))
-            whole = raw.tobytes()
-            texts = [whole[starts[f] : ends[f]].decode() for f in first[list(new)].tolist()]
-            for i, e in zip(new, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                known[keys[i]] = np.array(e.ids, np.uint32)
-        each = [known[k] for k in keys]
-        sizes = np.array([len(e) for e in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        text = raw.tobytes().decode("utf-8", "replace")
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        begin = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets[a : b + 1] - offsets[a]]
+        kind = _classes()[np.minimum(codes, 0xFFFF)]
+        kind[codes > 0xFFFF] = _WHOLE
+        kind[:-1][(codes[:-1] == 60) & (codes[1:] == 124)] = _WHOLE  # the start of a special token's string
+        starts, ends, whole = _runs(kind, begin)
+        low = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint64)
+        hashes = mix(rolling(low + np.uint64(1), starts, ends, 0x9E3779B97F4A7C15) + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) ^ (whole.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at, sizes = known.look_up(unique, lambda k: text[starts[first[k]] : ends[first[k]]], ~whole[first])
         per = sizes[inverse]
         total = np.concatenate(([0], np.cumsum(per)))
-        ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[inverse], per)] if total[-1] else np.zeros(0, np.uint32)
-        bounds = total[at]
+        ids = known.ids[np.arange(total[-1]) + np.repeat(at[inverse] - total[:-1], per)]
+        bounds = total[np.searchsorted(starts, begin)]
         out += [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
     return out
 
 
+def _runs(kind: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and which of them are parts left whole."""
+    n = len(kind)
+    edge = np.zeros(n + 1, bool)
+    edge[begin] = True
+    blank = kind == _BLANK
+    # parts between blanks (and documents), and which hold a character that leaves them whole
+    cut = edge[:-1] | blank
+    cut[1:] |= blank[:-1]
+    part = np.cumsum(cut) - 1
+    left_whole = np.zeros(part[-1] + 1 if n else 0, bool)
+    left_whole[part[kind == _WHOLE]] = True
+    within = left_whole[part] if n else blank
+    split = np.ones(n, bool)
+    split[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    start = ~blank & (cut | (split & ~within))
+    starts = np.flatnonzero(start)
+    stop = np.ones(n, bool)
+    stop[:-1] = start[1:] | blank[1:] | edge[1:-1]
+    return starts, np.flatnonzero(stop & ~blank) + 1, within[starts]
+
+
 def cost(tokens, linear: float = LINEAR, quadratic: float = QUADRATIC):
     return linear * tokens + quadratic * tokens * tokens
 
@@ -121,16 +200,13 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 def _pack_batches(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            offsets, _ = utf8(batch.column(1))
-            for a, b in chunks(offsets, GROUP_BYTES):
-                part = batch.slice(a, b - a)
-                ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in _token_ids(part.column(1), path)]
-                pieces = pack([len(x) for x in ids], capacity)
-                doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-                crc = [zlib.crc32(ids[d][s : s + n]) for d, s, n, _, _ in pieces]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.array([len(x) for x in ids])[doc]), pa.array(sequence + next_id), pa.array(offset)], schema=_PIECES)
-                next_id += int(sequence.max()) + 1
+        for part in groups(batches, 1, GROUP_BYTES):
+            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in _token_ids(part.column(1), path)]
+            pieces = pack([len(x) for x in ids], capacity)
+            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+            crc = [zlib.crc32(ids[d][s : s + n]) for d, s, n, _, _ in pieces]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.array([len(x) for x in ids])[doc]), pa.array(sequence + next_id), pa.array(offset)], schema=_PIECES)
+            next_id += int(sequence.max()) + 1
 
     return run
 
