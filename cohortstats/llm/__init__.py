@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, importance, langid, packing, pii, secrets, simhash, substring_dedup
+from . import ann, decontaminate, html_extract, importance, langid, packing, pii, secrets, simhash, substring_dedup
 
-MODULES = (langid, substring_dedup, ann, decontaminate, packing, secrets, pii, simhash, importance)
+MODULES = (langid, substring_dedup, html_extract, ann, decontaminate, packing, secrets, pii, simhash, importance)
 
 
 def queries():

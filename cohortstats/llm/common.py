@@ -40,11 +40,15 @@ def by_value(name: str) -> None:
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts. Its rows are large, so fewer of them than usual make an Arrow batch."""
+def small_batches(spark: SparkSession) -> None:
+    """Rows that are whole texts are large: fewer of them than usual make an Arrow batch from now on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
