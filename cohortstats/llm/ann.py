@@ -160,31 +160,33 @@ def nearest_neighbours(vectors: DataFrame, query: str, nearest: int = NEAREST, t
     sc = rows.sparkSession.sparkContext
     schema = "__q long, query_id long, vec_id long, score double"
     dim = lengths[0].n if lengths else 0
+    if not dim:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.where(query).where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
 
-    def search(blocks: list, n: int) -> DataFrame:
-        out = None
-        for block in blocks:
-            part = rows.mapInArrow(_search(sc.broadcast(block), dim, tables, n, nearest, seed), schema)
-            out = part if out is None else out.unionByName(part)
-        if out is None:
-            out = rows.sparkSession.createDataFrame([], schema)
+    def search(block: tuple, n: int) -> DataFrame:
+        send = sc.broadcast(block)
+        part = rows.mapInArrow(_search(send, dim, tables, n, nearest, seed), schema)
         order = Window.partitionBy("__q").orderBy("score", "vec_id")
-        return out.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= nearest)
-
-    blocks = list(_blocks(asked, dim)) if dim else []
-    found = checkpoint(search(blocks, n_probes))
-    # the few queries whose buckets held too little, among all rows
-    full = dict.fromkeys(r[0] for r in found.where(F.col("rank") == nearest).select("__q").toLocalIterator())
-    rest = []
-    for number, ids, vecs in blocks:
-        short = [k for k in range(len(ids)) if number + k not in full]
-        rest += [(number + k, ids[k : k + 1], vecs[k : k + 1]) for k in short]
-    if rest:
-        again = [(0, np.concatenate([r[1] for r in rest[a : a + QUERY_BLOCK]]), np.concatenate([r[2] for r in rest[a : a + QUERY_BLOCK]])) for a in range(0, len(rest), QUERY_BLOCK)]
-        again = [(-(1 << 40) + a * QUERY_BLOCK, ids, vecs) for a, (_, ids, vecs) in enumerate(again)]
-        found = found.where(~F.col("__q").isin([r[0] for r in rest])).unionByName(search(again, 0))
-    return found.select("query_id", "rank", "vec_id", "score")
+        found = checkpoint(part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= nearest))
+        send.unpersist()
+        return found
+
+    # one block at a time: the driver holds one, and each block's result lies in the checkpoint folder
+    done = []
+    for number, ids, vecs in _blocks(asked, dim):
+        found = search((number, ids, vecs), n_probes)
+        full = {r[0] - number for r in found.where(F.col("rank") == nearest).select("__q").collect()}  # a block's queries at most
+        if short := sorted(set(range(len(ids))) - full):  # their buckets held too little: among all rows
+            again = search((0, ids[short], vecs[short]), 0)
+            found = found.where(~F.col("__q").isin([number + k for k in short])).unionByName(again)
+        done.append(found.select("query_id", "rank", "vec_id", "score"))
+    if not done:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Shuffle partitions so that each gets about ``bytes_each`` of the input, never under the session's number."""
-    set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(100_000, max(set_to, -(-input_bytes(df) // bytes_each)))
+    """Shuffle partitions so that each gets about ``bytes_each`` of the input, never under the session's
+    number, which also serves where Catalyst has no estimate (it then says exabytes)."""
+    set_to, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return set_to if size >= 1 << 53 else min(100_000, max(set_to, -(-size // bytes_each)))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

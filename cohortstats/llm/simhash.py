@@ -166,9 +166,10 @@ def _classes(fps: DataFrame, parts: int) -> DataFrame:
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = _postings(nodes).repartition(parts, "choice", "shared").sortWithinPartitions("choice", "shared").mapInArrow(_links, "a long, b long")
     links = checkpoint(links.distinct())
-    far = F.lit(2**63 - 1)
-    found = components(links, nodes.select(F.col("fp").alias("node"), F.coalesce("first", far).alias("label")))
-    classes = checkpoint(nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.nullif(F.coalesce("label", "first"), far).alias("component_id")))
+    found = components(links)
+    rooted = checkpoint(nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), "first", F.coalesce("label", "fp").alias("__root")))
+    least = checkpoint(rooted.groupBy("__root").agg(F.min("first").alias("component_id")).withColumnRenamed("__root", "__of"))
+    classes = checkpoint(rooted.join(least, F.col("__root") == F.col("__of")).select("__fp", "component_id"))
     return fps.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
