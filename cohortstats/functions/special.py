@@ -31,12 +31,21 @@ def betainc(a: float, b: float, x: float) -> float:
         return math.nan
     if x <= 0 or x >= 1:
         return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - _log_beta(a, b))
     if x > (a + 1) / (a + b + 2):
         return 1 - front * _beta_fraction(b, a, 1 - x) / b
     return front * _beta_fraction(a, b, x) / a
 
 
+def _log_beta(a: float, b: float) -> float:
+    low, high = min(a, b), max(a, b)
+    if high < 1e4:
+        return math.lgamma(low) + math.lgamma(high) - math.lgamma(low + high)
+    # log gamma(high + low) - log gamma(high) by Stirling's series: the difference of two huge values would lose all digits
+    step = low * math.log(high) + (high + low - 0.5) * math.log1p(low / high) - low + 1 / (12 * (high + low)) - 1 / (12 * high)
+    return math.lgamma(low) - step
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
