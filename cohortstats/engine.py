@@ -79,12 +79,16 @@ class Engine:
             y, x = longitudinal.renamed(y, strategies), longitudinal.renamed(x, strategies)
             order = "subjectid"
         p = {k: v for k, v in (request.get("parameters") or {}).items() if v is not None}
-        return _RUN[spec.name](_Call(rows, y, x, p, [v for v in x if v in categorical], y[0] in categorical, enums, order, self.min_rows))
+        held_out = None
+        if spec.validation and DATASET in rows.columns:  # validation data sets never train
+            held_out = rows.where(F.col(DATASET).isin(*data.validation_datasets))
+            rows = rows.where(F.col(DATASET).isin(*data.datasets))
+        return _RUN[spec.name](_Call(rows, y, x, p, [v for v in x if v in categorical], y[0] in categorical, enums, order, self.min_rows, held_out))
 
 
 class _Call:
-    def __init__(self, rows, y, x, p, cats, y_nominal, enums, order, min_rows):
-        self.rows, self.y, self.x, self.p, self.cats, self.y_nominal, self.enums, self.order, self.min_rows = rows, y, x, p, cats, y_nominal, enums, order, min_rows
+    def __init__(self, rows, y, x, p, cats, y_nominal, enums, order, min_rows, held_out=None):
+        self.rows, self.y, self.x, self.p, self.cats, self.y_nominal, self.enums, self.order, self.min_rows, self.held_out = rows, y, x, p, cats, y_nominal, enums, order, min_rows, held_out
 
     @property
     def ordered(self) -> str:
@@ -129,6 +133,6 @@ _RUN: dict[str, Callable[[_Call], dict[str, Any]]] = {
     "ttest_independent": lambda c: ttests.ttest_independent(c.rows, c.y[0], c.x[0], **c.p),
     "ttest_onesample": lambda c: ttests.ttest_onesample(c.rows, c.y[0], **c.p),
     "ttest_paired": lambda c: ttests.ttest_paired(c.rows, c.x[0], c.y[0], **c.p),
-    "logistic_regression_fedaverage_flower": lambda c: {"accuracy": federated.fedavg_logistic(c.rows, *c.matrix()[1:])["accuracy"]},
+    "logistic_regression_fedaverage_flower": lambda c: {"accuracy": federated.fedavg_logistic(c.rows, *c.matrix()[1:], evaluate=c.held_out)["accuracy"]},
     "xgboost": _trees,
 }

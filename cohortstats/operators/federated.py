@@ -78,9 +78,10 @@ def _by_site(site: str, values: dict, make) -> Column:
     return out
 
 
-def fedavg_logistic(df: DataFrame, columns: list[Column], target: Column, rounds: int = 5, site: str = SITE, step: float = 1.0, ridge: float = 1.0) -> dict[str, Any]:
+def fedavg_logistic(df: DataFrame, columns: list[Column], target: Column, rounds: int = 5, site: str = SITE, step: float = 1.0, ridge: float = 1.0, evaluate: DataFrame | None = None) -> dict[str, Any]:
     """FedAvg: every site takes one penalised step from the shared weights, and the weights become the
-    row-weighted mean of the sites'. One grouped aggregation a round serves all sites."""
+    row-weighted mean of the sites'. One grouped aggregation a round serves all sites. The accuracy is
+    that on ``evaluate``, if given and not empty, else on the training rows."""
     df = df if site in df.columns else df.withColumn(site, F.lit("all"))
     beta = np.zeros(len(columns))
     for _ in range(rounds):
@@ -94,7 +95,9 @@ def fedavg_logistic(df: DataFrame, columns: list[Column], target: Column, rounds
             total += r["n"][0]
         beta = new / total
     hit = F.when((linear(columns, beta) >= 0) == (target == 1), 1.0).otherwise(0.0)
-    s = Round().sum("a", F.lit(1), hit).run(df)["a"]
+    counts = Round().sum("a", F.lit(1), hit)
+    s = counts.run(evaluate)["a"] if evaluate is not None else np.zeros(2)
+    s = s if s[0] else counts.run(df)["a"]
     return {"accuracy": float(s[1] / s[0]), "coefficients": beta.tolist()}
 
 

@@ -103,7 +103,7 @@ def read_csv(spark: SparkSession, path: str, model: DataModel) -> DataFrame:
 def load_model(spark: SparkSession, folder: str, csvs: list[str] | None = None) -> tuple[DataModel, DataFrame]:
     """The model and its table: all CSVs, columns that one lacks null there. A dataset may not span files."""
     model = read_metadata(spark, folder)
-    frames = [read_csv(spark, c, model) for c in csvs or find_models(spark, folder)[folder if "://" in folder or folder.startswith("file:") else next(iter(find_models(spark, folder)))]]
+    frames = [read_csv(spark, c, model) for c in csvs or next(iter(find_models(spark, folder).values()))]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     check_datasets(table)
     return model, table

@@ -112,3 +112,17 @@ def test_flags_and_codes(engine):
 def test_kmeans_columns_are_alphabetical(engine):
     a, b = engine.run("kmeans", request("kmeans", y=["w", "v"])), engine.run("kmeans", request("kmeans", y=["v", "w"]))
     assert a == b
+
+
+def test_service(engine):
+    from cohortstats.service import dispatch
+
+    assert dispatch(engine, "GET", "/healthcheck") == (200, {"healthy": True})
+    assert dispatch(engine, "GET", "/datasets")[1] == {"m:1": ["a", "b"]}
+    assert {s["name"] for s in dispatch(engine, "GET", "/algorithms")[1]} == set(SPECS)
+    assert "v" in dispatch(engine, "GET", "/cdes_metadata")[1]["m:1"]
+    assert dispatch(engine, "POST", "/algorithms/pca", request("pca"))[0] == 200
+    assert dispatch(engine, "POST", "/algorithms/pca", {**request("pca"), "zz": 1})[0] == 400
+    assert dispatch(engine, "POST", "/algorithms/pca", request("pca", y=["g"]))[0] == 460
+    assert dispatch(engine, "POST", "/algorithms/pca", request("pca", filters={"id": "v", "operator": "greater", "value": 1e9}))[0] == 461
+    assert dispatch(engine, "POST", "/algorithms/pca", None)[0] == 400 and dispatch(engine, "GET", "/nothing")[0] == 404
