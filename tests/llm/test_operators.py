@@ -345,6 +345,29 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert np.allclose(p + unknown * (m.chars - len(alphabet)), 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("block", [64 << 20, 200_000])
+def test_language_models_hold_all_types(spark, monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK_BYTES", block, raising=False)
+    r = random.Random(12)
+    signs = [chr(0x4E00 + k) for k in range(3000)]
+    rows = [(i, "".join(r.choice(signs) for _ in range(800)), "zh") for i in range(120)]
+    rows += [(1000 + i, prose(r, 60), "en") for i in range(60)]
+    rows += [(2000, "", "zh"), (2001, rows[0][1][:300] + prose(r, 30), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = {x.doc_id for x in d.where(langid.held_out(F.col("doc_id"))).collect()}
+    grams = {}
+    for _, t, lang in (x for x in rows if x[0] not in held and x[2]):
+        codes = np.array([ord(c) for c in t.lower()], np.uint16)
+        grams.setdefault(lang, []).append(langid._grams(codes, np.array([0, len(codes)])))
+    m = langid.Model({k: np.unique(np.concatenate(v), return_counts=True) for k, v in grams.items()})
+    assert len(m.hashes[4]) > 60_000
+    got = {x.doc_id: x.bits for x in langid.identify(d, ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        codes = np.array([ord(c) for c in t.lower()], np.uint16)
+        want = -m.score(langid._grams(codes, np.array([0, len(codes)]))).astype(float).mean(0).max() if t else None
+        assert got[i] == (pytest.approx(want, abs=1e-5) if t else None)
+
+
 # ---- neighbours
 
 
