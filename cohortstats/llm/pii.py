@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, by_value, checkpoint, chunks, mix, table, utf8, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "found")
-#: Distinct seeds that induce a pattern, induced patterns at most (those of most seeds), rounds of
-#: scoring, and what a pattern and an instance must reach.
-MIN_SEEDS, PATTERNS, ROUNDS, CONFIDENT, BELIEVED = 5, 10_000, 3, 0.8, 0.8
+#: Distinct seeds that induce a pattern, patterns sent at a time (8 bytes each; one pass over the texts
+#: a block), rounds of scoring, and what a pattern and an instance must reach.
+MIN_SEEDS, PATTERNS, ROUNDS, CONFIDENT, BELIEVED = 5, 1_000_000, 3, 0.8, 0.8
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # possessive: where these fail, no shorter run or later start within the run could match
@@ -168,19 +168,20 @@ def _slots(send):
     return run
 
 
-def score_graph(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def score_graph(pairs: DataFrame, rounds: int = ROUNDS, few: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pattern, confidence) and (instance, belief) after the rounds.
 
     ``pairs`` has pattern, instance (null: an ordinary word), seed and n. A pattern's confidence is
     the mean belief of what fills its slots, seeds having belief 1; an instance's belief is
-    1 - prod(1 - confidence) over its patterns.
+    1 - prod(1 - confidence) over its patterns. ``few`` patterns are broadcast.
     """
+    small = F.broadcast if few else lambda df: df
     belief = pairs.where("instance is not null").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(rounds):
         known = pairs.join(belief.withColumnRenamed("instance", "__i"), F.col("instance") == F.col("__i"), "left")
         confidence = known.groupBy("pattern").agg((F.sum(F.col("n") * F.coalesce("belief", F.lit(0.0))) / F.sum("n")).alias("confidence"))
         confidence = checkpoint(confidence)
-        linked = pairs.where("instance is not null").join(F.broadcast(confidence.withColumnRenamed("pattern", "__p")), F.col("pattern") == F.col("__p"))
+        linked = pairs.where("instance is not null").join(small(confidence.withColumnRenamed("pattern", "__p")), F.col("pattern") == F.col("__p"))
         doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))
         belief = checkpoint(linked.groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("belief")))
     return confidence, belief
@@ -192,25 +193,32 @@ def find_personal(docs: DataFrame, min_seeds: int = MIN_SEEDS, patterns: int = P
 
     A null or empty text has none. Rows with equal id and text get equal spans. A null id is an
     id like any other. Found spans never overlap base spans of their row. An empty table gives an
-    empty result.
+    empty result. Every pattern of ``min_seeds`` seeds is scored, ``patterns`` of them in a pass.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__key"), F.col("text").alias("__text"))
     kind = "array<struct<start:long,rank:int,end:long>>"
     base = checkpoint(rows.mapInArrow(_seeds, f"doc_id long, __key long, base {kind}, seeds array<struct<pattern:long,instance:long>>"))
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
-    induced = seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).orderBy(F.desc("n"), "pattern").limit(patterns)
-    induced = np.sort(np.array([r.pattern for r in induced.collect()], np.int64).view(np.uint64))
-    if not len(induced):
+    induced = checkpoint(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern"))
+    total = induced.count()
+    if not total:
         return base.select("doc_id", "base", F.col("base").alias("spans"))
-    send = docs.sparkSession.sparkContext.broadcast(induced)
-    slots = checkpoint(rows.mapInArrow(_slots(send), "pattern long, instance long, n long, doc_id long, __key long, start long, end long"))
+    slots = None
+    blocks = -(-total // patterns)
+    for k in range(blocks):
+        block = induced.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else induced
+        block = np.sort(block.toArrow()["pattern"].to_numpy().view(np.uint64))
+        if len(block):
+            send = docs.sparkSession.sparkContext.broadcast(block)
+            found = checkpoint(rows.mapInArrow(_slots(send), "pattern long, instance long, n long, doc_id long, __key long, start long, end long"))
+            slots = found if slots is None else slots.unionByName(found)
     known = seeds.select(F.col("instance").alias("__seed")).distinct()
     pairs = slots.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(known, F.col("instance") == F.col("__seed"), "left")
     pairs = checkpoint(pairs.select("pattern", "instance", "n", F.col("__seed").isNotNull().alias("seed")))
-    confidence, belief = score_graph(pairs)
+    confidence, belief = score_graph(pairs, few=blocks == 1)
     good = confidence.where(F.col("confidence") >= CONFIDENT).select(F.col("pattern").alias("__p"))
     sure = checkpoint(belief.where(F.col("belief") >= BELIEVED).select(F.col("instance").alias("__i")))
-    found = slots.where("instance is not null").join(F.broadcast(good), F.col("pattern") == F.col("__p"), "left_semi").join(sure, F.col("instance") == F.col("__i"), "left_semi")
+    found = slots.where("instance is not null").join(F.broadcast(good) if blocks == 1 else good, F.col("pattern") == F.col("__p"), "left_semi").join(sure, F.col("instance") == F.col("__i"), "left_semi")
     span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"))
     found = checkpoint(found.groupBy("doc_id", "__key").agg(F.collect_set(span).alias("more")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "more"))
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__of")), "left")

@@ -312,6 +312,14 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[100] == "found:14:32" and got[101] == "" and got[102] == "" and got[103] == "" and got[0].startswith("email:")
 
 
+@pytest.mark.parametrize("patterns", [1, 4, 1_000_000])
+def test_every_pattern_is_scored(spark, patterns):
+    rows = [(i, f"alpha beta mail a{i}@x{i}.org now gamma") for i in range(30)] + [(50 + i, f"delta eta host 10.0.0.{i} ends") for i in range(5)]
+    rows += [(100, "alpha beta mail agent_4711 now gamma"), (101, "delta eta host node_0815 ends"), (102, "delta eta none node_0815 here")]
+    got = {x.doc_id: x.spans for x in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string"), patterns=patterns).select("doc_id", pii._written("spans").alias("spans")).collect()}
+    assert got[100] == "found:16:26" and got[101] == "found:15:24" and got[102] == ""
+
+
 # ---- language identification
 
 
