@@ -2,7 +2,8 @@
 
 Words and word pairs of every document fall into a fixed number of hash buckets. The raw
 model counts all documents, the target model a bounded sample of those labelled as good.
-A document's weight is the sum of log(target / raw) over its n-grams. Keys of weight plus
+A document's weight is the sum of the smoothed log(target / raw) over all its n-grams, brought
+down to the weight of ``LENGTH`` n-grams where it has more. Keys of weight plus
 Gumbel noise are compared, which draws without replacement in proportion to the weights;
 the k-th key is found by radix selection on the keys' bits, with a fixed number of counts
 sent to the driver, so neither k nor the corpus gathers anywhere.
@@ -24,10 +25,10 @@ BUCKETS = 1 << 18
 TARGET_ROWS = 20_000
 #: Share of the rows that a sample keeps.
 KEEP = 0.8
-#: A bucket's ratio counts where the target count is so many standard deviations off what the raw
-#: model expects; elsewhere it is chance, and long documents would add up chance.
-SIGMAS = 6.0
-PRIOR = 0.5
+#: Added to the target count and to what the raw model expects of it: every bucket counts, a rare one little.
+PRIOR = 5.0
+#: A longer document weighs as if it had so many n-grams of its own mean ratio; else chance would add up in it.
+LENGTH = 200
 
 
 def _buckets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,6 +65,7 @@ def _weigh(send, size: int):
             for _, _, bucket, row in _buckets(batch.column(0), size):
                 total += np.bincount(row, send.value[bucket], batch.num_rows)
                 n += np.bincount(row, minlength=batch.num_rows)
+            total *= np.minimum(1, LENGTH / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(total)], names=[*batch.schema.names[1:], "n_grams", "log_weight"])
 
     return run
@@ -81,8 +83,7 @@ def log_ratios(docs: DataFrame, good: DataFrame, size: int = BUCKETS, target_row
     if not target.sum():
         return np.zeros(size)
     expected = raw * (target.sum() / raw.sum())
-    clear = np.abs(target - expected) > SIGMAS * np.sqrt(np.maximum(expected, 1))
-    return np.where(clear, np.log((target + PRIOR) / (expected + PRIOR)), 0.0)
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def kth_largest(keys: DataFrame, k: int, column: str = "key") -> int | None:

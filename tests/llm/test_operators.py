@@ -467,6 +467,22 @@ def test_resampling_prefers_the_target(spark):
     assert sum(i % 4 == 0 for i in kept) < 20
 
 
+def test_rare_words_weigh_too(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, 60) + (" bad worse worst" if i % 4 == 0 else "")) for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in importance.resample(d, d.where("doc_id % 4 <> 0 and doc_id % 3 = 0").select("doc_id"), keep=0.75).collect()}
+    assert sum(i % 4 == 0 for i in kept) < 12
+
+
+def test_ratios_are_of_all_buckets(spark):
+    d = spark.createDataFrame([(1, "good word"), (2, "bad word")], "doc_id long, text string")
+    got = importance.log_ratios(d, d.where("doc_id = 1").select("doc_id"))
+    p = importance.PRIOR
+    want = [0.0] + [np.log((1 + p) / (0.5 + p))] * 2 + [np.log(p / (0.5 + p))] * 2  # good, good word; bad, bad word
+    assert sorted(x for x in got if x) == pytest.approx(sorted(want[1:])) and len(got) == importance.BUCKETS
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_kth_largest(spark, seed):
     r = random.Random(seed)
