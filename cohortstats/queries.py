@@ -548,7 +548,7 @@ def event_windows(s, d):
 @query("svm_linear")
 def svm_linear(s, d):
     t = items(s, d).where("l_linestatus in ('F', 'O')").withColumn("x", F.datediff("l_shipdate", F.lit("1995-06-17")).cast("double")).withColumn("site", F.when(F.col("l_linenumber") < 4, "s1").otherwise("s2"))
-    out = federated.svm_linear(t, "l_linestatus", ["x", "l_quantity"], iterations=20)
+    out = federated.svm_linear(t, "l_linestatus", ["x", "l_quantity"])
     return rows_of(s, [(k, r6(w)) for k, w in zip(["x", "l_quantity"], out["weights"], strict=True)], "variable string, weight double")
 
 

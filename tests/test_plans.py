@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortstats import errors
+from cohortstats import queries as harness
 from cohortstats.operators import anova, descriptive, federated, kmeans, naive_bayes, regression, ttests
 from cohortstats.plans import cohort, filters, folds, landscape, longitudinal
 from cohortstats.plans.cohort import InputData
@@ -165,6 +166,13 @@ def test_site_learners(spark):
         federated.svm_linear(t.where("y = 'p'"), "y", ["x"])
 
 
+def test_registered_svm_runs_all_steps(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(federated, "svm_linear", lambda *args, **kwargs: seen.update(kwargs) or {"weights": [0.0, 0.0]})
+    harness.queries()["svm_linear"](spark, "/root/testdata/sf0.001").collect()
+    assert "iterations" not in seen  # the operator's own number
+
+
 def test_longitudinal(spark):
     t = spark.createDataFrame([("d", 1, "BL", 1.0, "a"), ("d", 1, "FL1", 4.0, "b"), ("d", 2, "BL", 2.0, "a")], "dataset string, subjectid long, visitid string, v double, g string")
     got = longitudinal.pair_visits(t, "BL", "FL1", {"v": "diff", "g": "second"}).collect()
