@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, table
+from .common import by_value, checkpoint, mapped, table
 
 TABLES, PROBES, NEAREST, SEED = 16, 8, 10, 7
 #: Queries sent to the executors at once.
@@ -166,7 +166,7 @@ def nearest_neighbours(vectors: DataFrame, query: str, nearest: int = NEAREST, t
 
     def search(block: tuple, n: int) -> DataFrame:
         send = sc.broadcast(block)
-        part = rows.mapInArrow(_search(send, dim, tables, n, nearest, seed), schema)
+        part = rows.transform(mapped, _search(send, dim, tables, n, nearest, seed), schema)
         order = Window.partitionBy("__q").orderBy("score", "vec_id")
         found = checkpoint(part.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= nearest))
         send.unpersist()

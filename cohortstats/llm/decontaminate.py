@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, by_value, chunks, covered, runs, table, utf8, word_hashes, words
+from .common import ALNUM, LOWER, by_value, chunks, covered, mapped, runs, table, utf8, word_hashes, words
 
 SIZE = 10
 BLOCK_BYTES = 8 << 20
@@ -196,9 +196,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str
     schema = f"__id long, __key long, n_words long, hit array<array<long>>, items array<string>, longest {_MATCH}"
     parts = []
     for block in _blocks(_items(benchmark)):
-        parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(_tests(block, size))), schema))
+        parts.append(rows.transform(mapped, _search(spark.sparkContext.broadcast(_tests(block, size))), schema))
     if len(parts) <= 1:
-        block = parts[0] if parts else rows.mapInArrow(_search(spark.sparkContext.broadcast(_tests([], size))), schema)
+        block = parts[0] if parts else rows.transform(mapped, _search(spark.sparkContext.broadcast(_tests([], size))), schema)
         return block.withColumnRenamed("__id", "doc_id")
     out = parts[0]
     for part in parts[1:]:
@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text_
     shuffled. Null texts have no words and stay, as do rows with a null id."""
     for block in _blocks(_items(benchmark)):
         send = docs.sparkSession.sparkContext.broadcast(_tests(block, size))
-        docs = docs.mapInArrow(_keep(send, docs.columns.index(text_col)), docs.schema)
+        docs = docs.transform(mapped, _keep(send, docs.columns.index(text_col)), docs.schema)
     return docs
 
 

@@ -1,16 +1,18 @@
 """Cost-balanced packing of whole documents into sequences of bounded length.
 
-A document's cost is linear in its tokens plus quadratic attention. Within a batch of
+A document's cost is linear in its tokens plus quadratic attention. Within a group of
 documents, full sequences are cut from long documents; the rest are assigned in
 descending order to the cheapest sequence with room. A piece that fits nowhere is cut to
-fill the emptiest sequence. The tokens past the last full sequence form sequences of
-powers of two, which need no padding. Each batch is packed where it is tokenized: no
-shuffle, memory bounded by a batch, and a lost task packs the same batch again.
+fill the emptiest sequence. What is left past the last full sequence, less than one, goes
+on into the next group; at a task's end it forms sequences of powers of two, which need no
+padding. Groups are packed where they are tokenized: no shuffle, memory bounded by a group,
+and a lost task packs the same groups again.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -21,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, chunks, groups, mix, rolling, table, utf8
+from .common import by_value, chunks, groups, mapped, mix, rolling, table, utf8
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Text packed together, about (one longer document is packed alone), and words a worker remembers.
-GROUP_BYTES = 16 << 20
-REMEMBERED = 1_000_000
+GROUP_BYTES = 4 << 20
+REMEMBERED = 500_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _BLANK, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
@@ -55,6 +57,19 @@ def _classes() -> np.ndarray:
     return _WORKER["classes"]
 
 
+#: The splitting that ``_runs`` reproduces. A tokenizer that says anything else encodes whole texts itself.
+_SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class _Words:
     """Ids of words, encoded once and kept in arrays sorted by hash."""
 
@@ -63,6 +78,8 @@ class _Words:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        self.splits = {k: said.get(k) for k in _SPLITTING} == _SPLITTING and said["model"].get("end_of_word_suffix") == "</w>"
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self.forget()
@@ -109,6 +126,9 @@ def _token_ids(column: pa.Array, path: str) -> list[np.ndarray]:
     if _WORKER.get("path") != path:
         _WORKER.update(path=path, words=_Words(path))
     known = _WORKER["words"]
+    if not known.splits:
+        texts = [x or "" for x in column.to_pylist()]
+        return [np.array(e.ids, np.uint32) for e in known.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     offsets, data = utf8(column)
     out: list[np.ndarray] = []
     for a, b in chunks(offsets):
@@ -163,6 +183,13 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
     Sequences are full but for those of the tail, whose lengths are falling powers of two.
     """
+    pieces, left, sequence = pack_full(lengths, capacity)
+    tail = sum(n for _, _, n in left)
+    return pieces + _assign(left, [1 << k for k in range(tail.bit_length() - 1, -1, -1) if tail >> k & 1], sequence)[0]
+
+
+def pack_full(lengths: list[int], capacity: int = CAPACITY) -> tuple[list, list, int]:
+    """Pieces in full sequences only; (document, start, length) of what is left, under one sequence; and the sequences."""
     pieces, rest, sequence = [], [], 0
     for d, n in enumerate(lengths):
         full = n // capacity
@@ -170,16 +197,22 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
             pieces.append((d, k * capacity, capacity, sequence, 0))
             sequence += 1
         if n % capacity:
-            rest.append((-(n % capacity), d, full * capacity))
-    total = -sum(x[0] for x in rest)
-    tail = total % capacity
-    sizes = [capacity] * (total // capacity) + [1 << k for k in range(tail.bit_length() - 1, -1, -1) if tail >> k & 1]
+            rest.append((d, full * capacity, n % capacity))
+    whole = sum(n for _, _, n in rest) // capacity
+    more, left = _assign(rest, [capacity] * whole, sequence)
+    return pieces + more, left, sequence + whole
+
+
+def _assign(parts: list[tuple[int, int, int]], sizes: list[int], sequence: int) -> tuple[list, list]:
+    """Fills sequences of these sizes: each part, largest first, goes to the cheapest with room for it."""
     if not sizes:
-        return pieces
+        return [], parts
+    rest = [(-n, d, start) for d, start, n in parts]
+    heapq.heapify(rest)
+    pieces = []
     room = np.array(sizes, np.int64)
     spent = np.zeros(len(sizes))
     used = np.zeros(len(sizes), np.int64)
-    heapq.heapify(rest)
     while rest:
         n, d, start = heapq.heappop(rest)
         n = -n
@@ -188,25 +221,39 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
         if fits[to] == np.inf:  # nowhere whole: fill the emptiest sequence and put the remainder back
             to = int(np.argmax(room))
             take = int(room[to])
+            if not take:  # all are full
+                rest.append((-n, d, start))
+                break
             heapq.heappush(rest, (take - n, d, start + take))
             n = take
         pieces.append((d, start, n, sequence + to, int(used[to])))
         room[to] -= n
         used[to] += n
         spent[to] += cost(n)
-    return pieces
+    return pieces, [(d, start, -n) for n, d, start in rest]
 
 
 def _pack_batches(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []  # doc_id, first token, all the document's tokens, ids from there on
+
+        def found(docs: list[tuple], pieces: list) -> pa.RecordBatch:
+            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+            ids, first, total = [docs[d][0] for d in doc], np.array([x[1] for x in docs])[doc], np.array([x[2] for x in docs])[doc]
+            crc = [zlib.crc32(docs[d][3][s : s + n]) for d, s, n, _, _ in pieces]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total), pa.array(sequence + next_id), pa.array(offset)], schema=_PIECES)
+
         for part in groups(batches, 1, GROUP_BYTES):
             ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in _token_ids(part.column(1), path)]
-            pieces = pack([len(x) for x in ids], capacity)
-            doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-            crc = [zlib.crc32(ids[d][s : s + n]) for d, s, n, _, _ in pieces]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.array([len(x) for x in ids])[doc]), pa.array(sequence + next_id), pa.array(offset)], schema=_PIECES)
-            next_id += int(sequence.max()) + 1
+            docs = held + [(i, 0, len(x), x) for i, x in zip(part.column(0).to_pylist(), ids, strict=True)]
+            pieces, left, made = pack_full([len(x[3]) for x in docs], capacity)
+            if pieces:
+                yield found(docs, pieces)
+                next_id += made
+            held = [(docs[d][0], docs[d][1] + s, docs[d][2], docs[d][3][s : s + n].copy()) for d, s, n in left]
+        if held:
+            yield found(held, pack([len(x[3]) for x in held], capacity))
 
     return run
 
@@ -215,11 +262,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone; a null doc_id stays null in its pieces. Repeated
-    rows are packed as often as they come. Sequence ids are unique, not gapless. An empty
-    table gives no pieces. Only doc_id and text are read.
+    rows are packed as often as they come. Sequence ids are unique within one result, not gapless, and
+    follow from the partition that read a document. A text longer than a group is one by itself. An
+    empty table gives no pieces. Only doc_id and text are read, whatever other columns are called.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_pack_batches(tokenizer_path, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.transform(mapped, _pack_batches(tokenizer_path, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, by_value, checkpoint, chunks, mix, table, utf8, word_hashes, words
+from .common import NON_SPACE, by_value, checkpoint, chunks, mapped, mix, table, utf8, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: Distinct seeds that induce a pattern, patterns sent at a time (8 bytes each; one pass over the texts
@@ -197,7 +197,7 @@ def find_personal(docs: DataFrame, min_seeds: int = MIN_SEEDS, patterns: int = P
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__key"), F.col("text").alias("__text"))
     kind = "array<struct<start:long,rank:int,end:long>>"
-    base = checkpoint(rows.mapInArrow(_seeds, f"doc_id long, __key long, base {kind}, seeds array<struct<pattern:long,instance:long>>"))
+    base = checkpoint(rows.transform(mapped, _seeds, f"doc_id long, __key long, base {kind}, seeds array<struct<pattern:long,instance:long>>"))
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
     induced = checkpoint(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern"))
     total = induced.count()
@@ -210,7 +210,7 @@ def find_personal(docs: DataFrame, min_seeds: int = MIN_SEEDS, patterns: int = P
         block = np.sort(block.toArrow()["pattern"].to_numpy().view(np.uint64))
         if len(block):
             send = docs.sparkSession.sparkContext.broadcast(block)
-            found = checkpoint(rows.mapInArrow(_slots(send), "pattern long, instance long, n long, doc_id long, __key long, start long, end long"))
+            found = checkpoint(rows.transform(mapped, _slots(send), "pattern long, instance long, n long, doc_id long, __key long, start long, end long"))
             slots = found if slots is None else slots.unionByName(found)
     known = seeds.select(F.col("instance").alias("__seed")).distinct()
     pairs = slots.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(known, F.col("instance") == F.col("__seed"), "left")

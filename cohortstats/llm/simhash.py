@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, chunks, partitions_for, table, utf8
+from .common import by_value, checkpoint, chunks, mapped, partitions_for, table, utf8
 from .graph import components
 
 SHINGLE, SEED, DIFFER = 3, 42, 2
@@ -34,7 +34,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         offsets, data = utf8(batch.column(1))
         out = np.zeros(batch.num_rows, np.uint64)
-        for a, b in chunks(offsets, 1 << 20):
+        for a, b in chunks(offsets, 1 << 18):
             raw = data[offsets[a] : offsets[b]].tobytes().lower()
             hashes, counts = [], []
             for x, y in zip((offsets[a:b] - offsets[a]).tolist(), (offsets[a + 1 : b + 1] - offsets[a]).tolist(), strict=True):
@@ -63,7 +63,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.transform(mapped, _fingerprints, "doc_id long, fp long")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 def _classes(fps: DataFrame, parts: int) -> DataFrame:
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    links = _postings(nodes).repartition(parts, "choice", "shared").sortWithinPartitions("choice", "shared").mapInArrow(_links, "a long, b long")
+    links = _postings(nodes).repartition(parts, "choice", "shared").sortWithinPartitions("choice", "shared").transform(mapped, _links, "a long, b long")
     links = checkpoint(links.distinct())
     found = components(links)
     rooted = checkpoint(nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("__fp"), "first", F.coalesce("label", "fp").alias("__root")))
