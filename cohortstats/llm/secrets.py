@@ -9,7 +9,7 @@ ownership says that they are live.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, checkpoint, table
@@ -25,68 +25,87 @@ MAX_OWNERS = 1
 
 # two characters that no text should hold: one marks matches, the other stands for it if a text does
 _MARK, _STAND_IN = "\ufdd0", "\ufdd1"
-_NONE = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,value:string>>)"
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
+_NONE = f"cast(array() as {_SPAN})"
+_PARTS = "array<struct<rank:int,i:int,n:int,value:string>>"
+#: Characters of a block of text that redaction copies at a time.
+_BLOCK = 1024
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int) -> Column:
-    """start, end (code points), rank of the kind, and the secret, of each leftmost non-overlapping match."""
+def _parts(text: Column, kind: int, pattern: str, group: int) -> Column:
+    """What lies between and in the leftmost non-overlapping matches, in turn: number, length, and the secret of a match."""
     marked = F.regexp_replace(text, f"(?:{pattern})", f"{_MARK}$0{_MARK}")
-    parts = F.transform(F.split(marked, _MARK, -1), lambda x, i: F.struct(x.alias("s"), i.alias("i")))
     value = (lambda s: s) if not group else (lambda s: F.regexp_extract(s, pattern, group))
-    zero = F.struct(F.lit(0).cast("long").alias("p"), F.expr(_NONE).alias("o"))
+    one = lambda s, i: F.struct(F.lit(kind).alias("rank"), i.alias("i"), F.length(s).alias("n"), F.when(i % 2 == 1, value(s)).alias("value"))
+    return F.when(text.rlike(pattern), F.transform(F.split(marked, _MARK, -1), one)).otherwise(F.expr(f"cast(array() as {_PARTS})"))
 
-    def add(done: Column, x: Column) -> Column:
-        end = done["p"] + F.length(x["s"])
-        span = F.struct(done["p"].alias("start"), F.lit(kind).alias("rank"), end.alias("end"), value(x["s"]).alias("value"))
-        return F.struct(end.alias("p"), F.when(x["i"] % 2 == 1, F.concat(done["o"], F.array(span))).otherwise(done["o"]).alias("o"))
 
-    found = F.aggregate(parts, zero, add, lambda done: done["o"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(_NONE))
+def candidates(docs: DataFrame, repository: str = "source", owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(__row, __key (a hash of the text), doc_id, repo, owner) of each row, none of the text, and the candidates:
+    __row, repo, owner, start, rank, end and value of base spans and of ``owned`` ones apart from them.
 
-
-def candidates(docs: DataFrame, repository: str = "source", owner: str | None = None) -> DataFrame:
-    """__row, __key (a hash of the text), doc_id, repo, owner and spans: base and ``owned`` candidates of each row, none of the text.
-
-    Checkpointed, so that __row names a row for good. The owner is what stands before the first
-    slash of the repository unless a column is named.
+    Both come from one checkpoint, so that __row names a row for good. The owner is what stands
+    before the first slash of the repository unless a column is named. Positions are running sums
+    over a row's matches, so a text's cost grows with its matches, not with their square.
     """
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit(_MARK), F.lit(_STAND_IN))
     own = F.col(owner) if owner else F.substring_index(F.col(repository), "/", 1)
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).alias("repo"), own.alias("owner"), F.xxhash64("text").alias("__key"), text.alias("__text"))
-    base = [_spans(F.col("__text"), k, p, g) for k, (_, p, g) in enumerate(KINDS)]
-    base[0] = F.filter(base[0], lambda x: F.length(x["value"]) >= ASSIGN_LEAST)
-    found = rows.select("__row", "__key", "doc_id", "repo", "owner", F.array_sort(F.concat(*base)).alias("base"), _spans(F.col("__text"), len(KINDS), OWNED[1], 0).alias("more"))
-    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")
-    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return checkpoint(found.select("__row", "__key", "doc_id", "repo", "owner", "base", F.filter("more", lambda x: mixed(x) & apart(x)).alias("more")))
+    parts = F.concat(*[_parts(F.col("__text"), k, p, g) for k, (_, p, g) in enumerate((*KINDS, OWNED))])
+    found = checkpoint(rows.select("__row", "__key", "doc_id", "repo", "owner", parts.alias("parts")))
+    each = found.where(F.size("parts") > 0).select("__row", "repo", "owner", F.explode("parts").alias("x")).select("__row", "repo", "owner", "x.*").repartition("__row")
+    end = F.sum(F.col("n").cast("long")).over(Window.partitionBy("__row", "rank").orderBy("i"))
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).where(F.col("i") % 2 == 1)
+    extra = F.col("rank") == len(KINDS)
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    spans = spans.where(F.when(extra, mixed).when(F.col("rank") == 0, F.length("value") >= ASSIGN_LEAST).otherwise(True))
+    # a base span overlaps what starts at or after it as far as the farthest end so far, and what starts before it from its start
+    order = Window.partitionBy("__row").orderBy("start")
+    behind = F.max(F.when(~extra, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(~extra, F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    apart = ~(F.coalesce(behind > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
+    spans = spans.withColumn("__apart", ~extra | apart).where("__apart").select("__row", "repo", "owner", "start", "rank", "end", "value")
+    return found.drop("parts"), checkpoint(spans)
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Of each candidate hash: distinct repositories, distinct owners and rows that hold it.
+    """Of each candidate's hash: distinct repositories, distinct owners and rows that hold it.
 
-    Copies within one repository are summed before anything is shuffled by hash.
+    Copies within one repository are summed before anything is shuffled by hash. Rows without an
+    owner, or without a repository, are together one owner's, or one repository's.
     """
-    one = found.select("repo", "owner", F.explode(F.concat("base", "more")).alias("x")).select("repo", "owner", F.xxhash64("x.value").alias("hash"))
+    one = found.select(F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.xxhash64("value").alias("hash"))
     per = one.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    per = per.groupBy("hash", "owner").agg(F.count("repo").alias("repos"), F.sum("n").alias("n"))
-    return per.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("owner").alias("n_owners"), F.sum("n").alias("n_rows"))
+    per = per.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return per.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_rows"))
+
+
+def _judged(found: DataFrame, max_owners: int, max_repos: int | None) -> DataFrame:
+    """The candidates and whether they look live: few enough owners, and repositories, hold their value."""
+    many = F.col("n_owners") > max_owners
+    if max_repos is not None:
+        many |= F.col("n_repos") > max_repos
+    copied = checkpoint(ownership(found).where(many).select(F.col("hash").alias("__hash")))
+    known = found.withColumn("hash", F.xxhash64("value")).join(copied, F.col("hash") == F.col("__hash"), "left")
+    return known.withColumn("live", F.col("__hash").isNull()).drop("hash", "__hash")
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "source", owner: str | None = None, max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
     """One row a document row: __key (a hash of the text), doc_id, base (base spans), spans (base and live ``owned`` ones)
-    and live (the spans whose value at most ``max_owners`` owners hold); spans ascend by start.
+    and live (the spans whose value at most ``max_owners`` owners, and ``max_repos`` repositories if given, hold); spans ascend by start.
 
-    A null text has no spans. A value whose rows all lack an owner counts as one owner's. Repeated
-    rows count as rows, not as owners. An empty table gives an empty result. Offsets are code points.
+    A null text has no spans. Rows without an owner are together one more owner's. Repeated rows
+    count as rows, not as owners. A very long text is scanned whole; its spans gather in one row. An
+    empty table gives an empty result. Offsets are code points. Only doc_id, text and the columns
+    named are read, whatever other columns are called.
     """
-    found = candidates(docs, repository, owner)
-    copied = checkpoint(ownership(found).where(F.col("n_owners") > max_owners).select(F.col("hash").alias("__hash")))
-    each = found.select("__row", F.explode(F.concat("base", "more")).alias("x")).withColumn("hash", F.xxhash64("x.value"))
-    live = each.join(copied, F.col("hash") == F.col("__hash"), "left_anti").groupBy("__row").agg(F.array_sort(F.collect_list("x")).alias("live")).withColumnRenamed("__row", "__of")
-    live = checkpoint(live)
-    own = F.filter(F.coalesce("live", F.expr(_NONE)), lambda x: x["rank"] == len(KINDS))
-    joined = found.join(live, F.col("__row") == F.col("__of"), "left")
-    return joined.select("__key", "doc_id", "base", F.array_sort(F.concat("base", own)).alias("spans"), F.coalesce("live", F.expr(_NONE)).alias("live"))
+    rows, found = candidates(docs, repository, owner)
+    span = F.struct("start", "rank", "end", "value")
+    extra = F.col("rank") == len(KINDS)
+    take = lambda when: F.array_sort(F.collect_list(F.when(when, span)))
+    by = _judged(found, max_owners, max_repos).groupBy("__row").agg(take(~extra).alias("base"), take(~extra | F.col("live")).alias("spans"), take(F.col("live")).alias("live")).withColumnRenamed("__row", "__of")
+    joined = rows.join(by, F.col("__row") == F.col("__of"), "left")
+    return joined.select("__key", "doc_id", *[F.coalesce(c, F.expr(_NONE)).alias(c) for c in ("base", "spans", "live")])
 
 
 def _written(spans: str) -> Column:
@@ -95,24 +114,35 @@ def _written(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, repository: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every live span of text replaced by ``mark``, and n_chars, if there is
-    such a column, set to the new length. All rows and all other columns stay; rows without a
-    candidate aren't moved."""
+    """The rows of ``docs`` with every live span of text replaced by ``mark`` (spans that overlap are one), and
+    n_chars, if there is such a column, set to the new length. All rows and all other columns stay; rows
+    without a candidate aren't moved. Rows of one id and text are redacted alike: what is live in any is replaced in all."""
     names = docs.columns
-    has = F.coalesce(F.col("text").rlike(KINDS[0][1]) | F.col("text").rlike(KINDS[1][1]) | F.col("text").rlike(KINDS[2][1]) | F.col("text").rlike(OWNED[1]), F.lit(False))
-    live = scan(docs, repository).where(F.size("live") > 0).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "live").dropDuplicates(["__id", "__of"])
-    some = docs.where(has).join(live, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of")), "left")
-    none = F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("o"))
-
-    def cut(done: Column, x: Column) -> Column:
-        gap = F.concat(F.substring("text", done["p"].cast("int") + 1, (x["start"] - done["p"]).cast("int")), F.lit(mark))
-        new = F.struct(x["end"].alias("p"), F.concat(done["o"], F.when(x["start"] >= done["p"], gap).otherwise(F.lit(""))).alias("o"))
-        return F.when(x["end"] > done["p"], new).otherwise(done)
-
-    text = F.aggregate("live", none, cut, lambda done: F.concat(done["o"], F.substring("text", done["p"].cast("int") + 1, F.length("text"))))
-    some = some.withColumn("__new", F.when(F.col("live").isNotNull(), text).otherwise(F.col("text")))
-    kept = [F.col("__new").alias("text") if c == "text" else F.when(F.col("live").isNotNull(), F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return docs.where(~has).unionByName(some.select(*kept))
+    has = F.coalesce(F.col("text").rlike("|".join(p for _, p, _ in (*KINDS, OWNED))), F.lit(False))
+    rows, found = candidates(docs, repository)
+    live = _judged(found, MAX_OWNERS, None).where("live").select("__row", "start", "end")
+    # the text kept before each span that begins past all earlier ones, and where the last ends
+    past = F.coalesce(F.max("end").over(Window.partitionBy("__row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gaps = live.withColumn("a", past).groupBy("__row").agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("a"), F.struct("a", F.col("start").alias("b"))))).alias("gaps"), F.max("end").alias("last"))
+    gaps = gaps.withColumnRenamed("__row", "__of").join(rows, F.col("__of") == F.col("__row")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "gaps", "last")
+    # equal ids and texts have equal candidates, and equal values are live together: the rows left differ in nothing
+    gaps = gaps.groupBy("__id", "__of").agg(F.min(F.struct("gaps", "last")).alias("__cut"))
+    some = docs.where(has).join(gaps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__of")), "left")
+    some = some.withColumn("__blocks", F.when(F.col("__cut").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))))
+
+    def piece(a: Column, b: Column) -> Column:
+        """Characters a to b of the text, out of its blocks."""
+        block = lambda k: F.coalesce(F.get("__blocks", k), F.lit(""))
+        first, last = F.floor(a / _BLOCK).cast("int"), F.floor(b / _BLOCK).cast("int")
+        at, to = (a % _BLOCK).cast("int"), (b % _BLOCK).cast("int")
+        between = F.concat(F.substr(block(first), at + 1), F.array_join(F.slice("__blocks", first + 2, last - first - 1), ""), F.substr(block(last), F.lit(1), to))
+        return F.when(first == last, F.substr(block(first), at + 1, to - at)).otherwise(between)
+
+    kept = F.concat(F.col("__cut.gaps"), F.array(F.struct(F.col("__cut.last").alias("a"), F.length("text").cast("long").alias("b"))))
+    text = F.array_join(F.transform(kept, lambda g: piece(g["a"], g["b"])), mark)
+    some = some.withColumn("__new", F.when(F.col("__cut").isNotNull(), text).otherwise(F.col("text")))
+    out = [F.col("__new").alias("text") if c == "text" else F.when(F.col("__cut").isNotNull(), F.length("__new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
+    return docs.where(~has).unionByName(some.select(*out))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
