@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import numpy as np
@@ -10,6 +11,9 @@ import numpy as np
 from .common import by_value
 
 _TAG = re.compile(r"<(?:(/)?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|!--(?:.*?-->|.*+)|[!?][^>]*+>)", re.S)
+_BEGIN = re.compile(r"</?[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -40,48 +44,98 @@ _TOKEN_AT = {t: k for k, t in enumerate(TOKENS)}
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
+class _Ends:
+    """Which places begin a tag that ends: asked where one was found not to, so that no place is read to the page's end twice."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.names = [m.start() for m in _NAME_END.finditer(html)]
+        self.at = [m.start() for m in _QUOTE_OR_END.finditer(html)]
+        self.ends = [False] * (len(self.at) + 1)  # from each quote or end on, outside of quotes: is there an end?
+        after = {'"': -1, "'": -1}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[k]]
+            if c == ">":
+                self.ends[k] = True
+            else:
+                self.ends[k] = after[c] >= 0 and self.ends[after[c] + 1]
+                after[c] = k
+
+    def tag(self, at: int) -> bool:
+        if self.html.startswith("<!--", at):
+            return True
+        if self.html.startswith(("<!", "<?"), at):
+            return at < self.last
+        if not _BEGIN.match(self.html, at):
+            return False
+        k = bisect_left(self.names, at + (2 if self.html[at + 1] == "/" else 1))
+        return k < len(self.names) and self.ends[bisect_left(self.at, self.names[k])]
+
+
 class Page:
-    """Block elements in page order (parents first) and runs of text, each with its element."""
+    """Block elements in page order (parents first) and runs of text, each with its element.
+
+    Reading takes time in proportion to the page, however its tags nest or fail to close.
+    Training pages say in data-y what is main text; nothing else reads that.
+    """
 
-    __slots__ = ("group", "parent", "runs", "tokens", "truth")
+    __slots__ = ("depth", "group", "parent", "runs", "tokens", "truth")
 
     def __init__(self, html: str):
-        self.group, self.parent, self.tokens, self.truth = [-1], [-1], [()], [1]
+        self.group, self.parent, self.tokens, self.truth, self.depth = [-1], [-1], [()], [1], [0]
         self.runs: list[tuple[int, str, int]] = []  # element, text, characters within links
         self._read(html)
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
+        opened: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+        blocks = [0]  # where in the stack the block elements are
         pieces: list[str] = []
-        linked, in_link, block, at = 0, 0, 0, 0
+        linked, at, scan = 0, 0, 0
+        ends: _Ends | None = None
 
         def flush() -> None:
             nonlocal linked
             if pieces:
                 if text := " ".join(unescape("".join(pieces)).split()):
-                    self.runs.append((block, text, min(linked, len(text))))
+                    self.runs.append((stack[blocks[-1]][1], text, min(linked, len(text))))
                 pieces.clear()
             linked = 0
 
+        def last(names) -> int:
+            return max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+
+        def push(name: str, block: int) -> None:
+            opened.setdefault(name, []).append(len(stack))
+            stack.append((name, block))
+
         def close(depth: int) -> None:
-            nonlocal block, in_link
-            if any(n >= 0 for _, n in stack[depth:]):
+            if blocks[-1] >= depth:
                 flush()
-            del stack[depth:]
-            block = next(n for _, n in reversed(stack) if n >= 0)
-            in_link = sum(t == "a" for t, _ in stack) if in_link else 0
-
-        end = len(html)
-        while at < end:
-            m = _TAG.search(html, at)
-            text = html[at : m.start() if m else end]
-            if text:
+            while len(stack) > depth:
+                name, n = stack.pop()
+                opened[name].pop()
+                if n >= 0:
+                    blocks.pop()
+
+        while True:
+            here = html.find("<", scan)
+            m = None
+            if here >= 0:
+                if ends is None or ends.tag(here):
+                    m = _TAG.match(html, here)
+                if not m:  # no tag: text like any other
+                    if ends is None and _BEGIN.match(html, here) or html.startswith(("<!", "<?"), here):
+                        ends = ends or _Ends(html)
+                    scan = here + 1
+                    continue
+            if text := html[at : here if here >= 0 else len(html)]:
                 pieces.append(text)
-                if in_link:
+                if opened.get("a"):
                     linked += len(text)
             if not m:
                 break
-            at = m.end()
+            at = scan = m.end()
             name = m[2]
             if name is None:
                 continue
@@ -89,61 +143,47 @@ class Page:
             if name == "br":
                 pieces.append("\n")
             elif m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if name in _INLINE and stack[k][1] >= 0:
-                        break
+                depth = last((name,))
+                if depth > (blocks[-1] if name in _INLINE else 0):
+                    close(depth)
             elif name in SILENT:
                 if not m[3].endswith("/"):
                     stop = _find_end(html, name, at)
-                    at = end if stop < 0 else stop
+                    at = scan = len(html) if stop < 0 else stop
             elif name in _EMPTY:
                 if name == "hr":
                     flush()
             elif name in _INLINE:
                 if not m[3].endswith("/"):
-                    stack.append((name, -1))
-                    in_link += name == "a"
+                    push(name, -1)
             else:
                 flush()
-                self._make_room(name, stack, close)
-                self.group.append(_GROUP.get(name, -1))
-                self.parent.append(block)
-                found, truth = (), self.truth[block]
-                if m[3]:
-                    got = []
-                    for a, x, y, z in _NAMED.findall(m[3]):
-                        if a.lower() == "data-y":
-                            truth = int(x)
-                        else:
-                            got += [_TOKEN_AT[t] for t in _TOKEN.findall(_CAMEL.sub(" ", x or y or z).lower()) if t in _TOKEN_AT]
-                    found = tuple(got)
-                self.tokens.append(found)
-                self.truth.append(truth)
-                block = len(self.group) - 1
-                stack.append((name, block))
+                # an opening block element ends an open paragraph, and its like in lists and tables
+                if stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
+                if name in _CLOSED_BY:
+                    ended, within = _CLOSED_BY[name]
+                    while (depth := last(ended)) > last(within):
+                        close(depth)
+                        if name != "tr":
+                            break
+                self._add(name, stack[blocks[-1]][1], m[3])
+                blocks.append(len(stack))
+                push(name, len(self.group) - 1)
         flush()
 
-    @staticmethod
-    def _make_room(name: str, stack: list, close) -> None:
-        """Ends what an opening block element ends: a paragraph, or its like in lists and tables."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == "p":
-                close(k)
-                break
-            if stack[k][1] >= 0:
-                break
-        if name in _CLOSED_BY:
-            ended, within = _CLOSED_BY[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in ended:
-                    close(k)
-                    if name != "tr":
-                        break
+    def _add(self, name: str, parent: int, attributes: str) -> None:
+        self.group.append(_GROUP.get(name, -1))
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        got, truth = [], self.truth[parent]
+        for a, x, y, z in _NAMED.findall(attributes) if attributes else ():
+            if a.lower() == "data-y":
+                truth = int(x) if x in ("0", "1") else truth
+            else:
+                got += [_TOKEN_AT[t] for t in _TOKEN.findall(_CAMEL.sub(" ", x or y or z).lower()) if t in _TOKEN_AT]
+        self.tokens.append(tuple(got))
+        self.truth.append(truth)
 
 
 def _find_end(html: str, name: str, at: int) -> int:
@@ -170,13 +210,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     run_sign = np.array([len(_SIGNS.findall(r[1])) for p in pages for r in p.runs], np.float64)
     own = np.bincount(run_of, run_len, n)
     sums = np.stack([own, np.bincount(run_of, run_link, n), np.bincount(run_of, run_sign, n), np.ones(n), np.where(group == 5, own, 0), np.bincount(run_of, minlength=n).astype(float)], 1)
-    depth = np.zeros(n, np.int64)
-    for k in range(1, 4096):
-        up = depth[parent] + 1
-        up[first] = 0
-        if (up == depth).all():
-            break
-        depth = up
+    depth = np.concatenate([p.depth for p in pages])
     order = np.argsort(depth, kind="stable")
     level = np.searchsorted(depth[order], np.arange(depth.max() + 2)) if n else np.zeros(1, int)
     tokens = np.zeros((n, len(TOKENS)), bool)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, groups, table
+from .common import by_value, groups, mapped, table
 from .dom import GROUPS, NUMBERS, TOKENS, Page, features
 
 #: The training set and the trees.
@@ -76,6 +76,13 @@ class Trees:
             self.feature.append(feature), self.cut.append(cut), self.leaf.append(leaf)
         return self
 
+    @classmethod
+    def of(cls, parts: dict) -> Trees:
+        """The trees of these attributes: plain arrays are what is sent, so executors need no copy of the package."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def _with_worth(self, x: np.ndarray) -> np.ndarray:
         """The features and two more: the least worth of the element's own marks, and of those on its path from the root."""
         own = x[:, NUMBERS : NUMBERS + len(self.worth)] > 0
@@ -249,8 +256,9 @@ def main_text(htmls: list[str | None], trees: Trees) -> list[str]:
 
 def _extract(send):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Trees.of(send.value)
         for part in groups(batches, 2, GROUP_BYTES):
-            text = main_text(part.column(2).to_pylist(), send.value)
+            text = main_text(part.column(2).to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -264,8 +272,8 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    send = pages.sparkSession.sparkContext.broadcast(train())
-    return rows.mapInArrow(_extract(send), "page_id long, url string, text string, n_chars long")
+    send = pages.sparkSession.sparkContext.broadcast(vars(train()))
+    return rows.transform(mapped, _extract(send), "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
