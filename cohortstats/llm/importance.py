@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, by_value, checkpoint, chunks, mix, table, utf8, word_hashes, words
+from .common import ALNUM, LOWER, by_value, checkpoint, chunks, mapped, mix, table, utf8, word_hashes, words
 
 BUCKETS = 1 << 18
 #: Labelled target rows that the target model is fitted on, at most.
@@ -76,7 +76,7 @@ def log_ratios(docs: DataFrame, good: DataFrame, size: int = BUCKETS, target_row
     ``target_rows`` with the smallest hashes are used, so few that they are broadcast."""
     picked = good.select(F.col("doc_id").cast("long").alias("__good")).where("__good is not null").distinct().orderBy(F.xxhash64("__good"), "__good").limit(target_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__good"), "left")
-    counted = rows.select("text", F.col("__good").isNotNull().alias("good")).mapInArrow(_count(size), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = rows.select("text", F.col("__good").isNotNull().alias("good")).transform(mapped, _count(size), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(size), np.zeros(size)
     for r in counted.collect():  # a row a bucket at most
         raw[r.bucket], target[r.bucket] = r.raw, r["target"]
@@ -111,29 +111,31 @@ def resample(docs: DataFrame, good: DataFrame, keep: float = KEEP, seed: int = 4
     """doc_id, n_grams, log_weight and key of the round(keep * rows) rows that a draw without
     replacement takes, with chances in proportion to the weights.
 
-    The noise follows from doc_id and seed alone, so a draw can be repeated. Null or empty texts
-    have no n-grams and log weight 0; null ids share one noise. Equal keys at the border are
-    ordered by doc_id (then row by row, any). Without target rows all weights are 0 and the
-    draw is uniform. An empty table gives an empty draw. Only doc_id and text are read.
+    The noise follows from doc_id, text and seed alone, so a draw can be repeated. Null or empty texts
+    have no n-grams and log weight 0; very long ones weigh as ``LENGTH`` n-grams. Equal keys at the
+    border are ordered by doc_id (nulls last), then as the rows come: the draw has its exact size
+    however many rows are alike. Without target rows all weights are 0 and the draw is uniform. An
+    empty table gives an empty draw. Only doc_id and text are read, whatever other columns are called.
     """
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, good, size, target_rows))
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    weighed = rows.mapInArrow(_weigh(ratios, size), "doc_id long, n_grams long, log_weight double")
-    even = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__text"))
+    weighed = rows.transform(mapped, _weigh(ratios, size), "doc_id long, __text long, n_grams long, log_weight double")
+    even = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "__text"), 11).cast("double") + 0.5) / float(1 << 53)
     noisy = weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(even)))
-    # a long that sorts as the key, to a millionth
-    sortable = checkpoint(noisy.withColumn("__sort", F.round(F.col("key") * 1e6).cast("long")))
+    # longs that sort as the key, to a millionth, and as what comes next; the checkpoint makes row numbers lasting
+    order = ["__sort", "__id", "__row"]
+    sortable = checkpoint(noisy.select("doc_id", "n_grams", "log_weight", "key", F.round(F.col("key") * 1e6).cast("long").alias("__sort"), (-F.coalesce("doc_id", F.lit(2**62))).alias("__id"), (-F.monotonically_increasing_id()).alias("__row")))
     total = sortable.count()
-    k = round(keep * total)
-    border = kth_largest(sortable, k, "__sort") if k else None
-    if border is None:
-        return sortable.where(F.lit(k > 0)).drop("__sort")
-    over = sortable.where(F.col("__sort") > border)
-    ties = sortable.where(F.col("__sort") == border)
-    short = k - over.count()
-    last = kth_largest(ties.select((-F.coalesce("doc_id", F.lit(2**62))).alias("__id")), short, "__id")
-    below = ties.where(-F.coalesce("doc_id", F.lit(2**62)) >= last)
-    return over.unionByName(below).drop("__sort")
+    left = round(keep * total)
+    if left >= total or not left:
+        return sortable.where(F.lit(left > 0)).drop(*order)
+    chosen, ties = F.lit(False), F.lit(True)
+    for name in order:
+        among = sortable.where(ties)
+        border = kth_largest(among, left, name)
+        left -= among.where(F.col(name) > border).count()
+        chosen, ties = chosen | (ties & (F.col(name) > border)), ties & (F.col(name) == border)
+    return sortable.where(chosen | ties).drop(*order)
 
 
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
