@@ -60,9 +60,10 @@ def candidates(docs: DataFrame, repository: str = "source", owner: str | None =
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
     spans = spans.where(F.when(extra, mixed).when(F.col("rank") == 0, F.length("value") >= ASSIGN_LEAST).otherwise(True))
     # a base span overlaps what starts at or after it as far as the farthest end so far, and what starts before it from its start
-    order = Window.partitionBy("__row").orderBy("start")
-    behind = F.max(F.when(~extra, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(F.when(~extra, F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # (frames that end at a row are summed up as they grow; ones that begin there would be summed anew for each row)
+    so_far = lambda order: Window.partitionBy("__row").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    behind = F.max(F.when(~extra, F.col("end"))).over(so_far(F.col("start")))
+    ahead = F.min(F.when(~extra, F.col("start"))).over(so_far(F.col("start").desc()))
     apart = ~(F.coalesce(behind > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
     spans = spans.withColumn("__apart", ~extra | apart).where("__apart").select("__row", "repo", "owner", "start", "rank", "end", "value")
     return found.drop("parts"), checkpoint(spans)
