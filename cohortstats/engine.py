@@ -109,6 +109,11 @@ def _anova(c: _Call):
     return anova.anova_twoway(c.rows, c.y[0], *c.x, sstype=c.p.get("sstype", 2), levels1=c.enums.get(c.x[0]), levels2=c.enums.get(c.x[1]))
 
 
+def _svm(c: _Call):
+    out = federated.svm_linear(c.rows, c.y[0], c.x, **c.p)
+    return {k: out[k] for k in ("title", "n_obs", "coeff", "support_vectors")}
+
+
 def _trees(c: _Call):
     _, columns, target = c.matrix()
     rows = c.rows.select(*([SITE] if SITE in c.rows.columns else []), target.alias("__t"), *[col.alias(f"x{k}") for k, col in enumerate(columns[1:])])
@@ -129,7 +134,7 @@ _RUN: dict[str, Callable[[_Call], dict[str, Any]]] = {
     "pca": lambda c: correlation.pca(c.rows, c.y),
     "pca_with_transformation": lambda c: correlation.pca_with_transformation(c.rows, c.y, c.p.get("data_transformation")),
     "pearson_correlation": lambda c: correlation.pearson_correlation(c.rows, c.y, c.x or None, c.p["alpha"]),
-    "svm_scikit": lambda c: federated.svm_linear(c.rows, c.y[0], c.x, **c.p),
+    "svm_scikit": _svm,
     "ttest_independent": lambda c: ttests.ttest_independent(c.rows, c.y[0], c.x[0], **c.p),
     "ttest_onesample": lambda c: ttests.ttest_onesample(c.rows, c.y[0], **c.p),
     "ttest_paired": lambda c: ttests.ttest_paired(c.rows, c.x[0], c.y[0], **c.p),

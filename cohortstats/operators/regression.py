@@ -18,7 +18,7 @@ from ..errors import BadUserInput
 from ..functions.special import f_sf, norm_ppf, norm_sf, t_ppf, t_sf
 from ..plans.design import design, linear, observed_levels, split_variables
 from ..plans.folds import with_fold
-from ..plans.rounds import WIDE, Round, gram, gram_columns, unpack_gram
+from ..plans.rounds import WIDE, Round, gram, gram_columns, summed, unpack_gram
 
 ALPHA, MAX_ITER, TOL = 0.05, 50, 1e-4
 
@@ -77,8 +77,9 @@ def linear_regression_cv(df: DataFrame, y: str, x: list[str], n_splits: int, ord
     rows = with_fold(df, n_splits, order)
     m = len(columns) + 1
     if m > WIDE + 1:
-        raise BadUserInput(f"Cross validation takes at most {WIDE} columns.")
-    parts = {k: unpack_gram(r["g"], m) for k, r in Round().sum("g", *gram_columns([*columns, v])).run_by(rows, "fold").items()}
+        parts = {k: g.reshape(m, m) for k, g in summed(rows, [*columns, v], F.array("fold"), lambda _, b: (b.T @ b).ravel()).items()}
+    else:
+        parts = {k: unpack_gram(r["g"], m) for k, r in Round().sum("g", *gram_columns([*columns, v])).run_by(rows, "fold").items()}
     total = sum(parts.values())
     beta, n_train = {}, {}
     for k, g in parts.items():
@@ -112,8 +113,6 @@ def newton(rows: DataFrame, columns: list[Column], target: Column, held_out: lis
     """
     keys = [-1] if held_out is None else list(held_out)
     p = len(columns)
-    if p > WIDE:
-        raise BadUserInput(f"Logistic regression takes at most {WIDE} columns.")
     inside = {k: F.lit(True) if k == -1 else F.col("fold") != k for k in keys}
     first = Round()
     for k in keys:
@@ -131,16 +130,7 @@ def newton(rows: DataFrame, columns: list[Column], target: Column, held_out: lis
         moving = [k for k in keys if not out[k]["done"]]
         if not moving:
             return out
-        r = Round()
-        for k in moving:
-            # the likelihood in a form that large scores don't overflow
-            eta = linear(columns, out[k]["beta"])
-            mu = 1 / (1 + F.exp(-eta))
-            w = mu * (1 - mu)
-            only = lambda c, k=k: F.when(inside[k], c)
-            r.sum(f"g{k}", *[only(c * (target - mu)) for c in columns]).sum(f"h{k}", *[only(g * w) for g in gram_columns(columns)])
-            r.sum(f"l{k}", only(target * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))))
-        s = r.run(rows)
+        s = _wide_step(rows, columns, target, {k: out[k]["beta"] for k in moving}) if p > WIDE else _step(rows, columns, target, {k: out[k]["beta"] for k in moving}, inside)
         for k in moving:
             h = unpack_gram(s[f"h{k}"], p)
             try:
@@ -154,6 +144,40 @@ def newton(rows: DataFrame, columns: list[Column], target: Column, held_out: lis
     raise BadUserInput("Logistic regression cannot converge. Cancelling run.")
 
 
+def _step(rows: DataFrame, columns: list[Column], target: Column, betas: dict[int, np.ndarray], inside: dict[int, Column]) -> dict[str, np.ndarray]:
+    """Gradient, Hessian (its upper triangle) and log likelihood of each model in one aggregation."""
+    r = Round()
+    for k, beta in betas.items():
+        # the likelihood in a form that large scores don't overflow
+        eta = linear(columns, beta)
+        mu = 1 / (1 + F.exp(-eta))
+        w = mu * (1 - mu)
+        only = lambda c, k=k: F.when(inside[k], c)
+        r.sum(f"g{k}", *[only(c * (target - mu)) for c in columns]).sum(f"h{k}", *[only(g * w) for g in gram_columns(columns)])
+        r.sum(f"l{k}", only(target * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))))
+    return r.run(rows)
+
+
+def _wide_step(rows: DataFrame, columns: list[Column], target: Column, betas: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
+    """The same for many columns: blocks of rows are multiplied in numpy."""
+    p = len(columns)
+    upper = np.triu_indices(p)
+
+    def sums(k: int, block: np.ndarray) -> np.ndarray:
+        x, t = block[:, :p], block[:, p]
+        eta = x @ betas[k]
+        mu = 1 / (1 + np.exp(-eta))
+        likely = t * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta)))
+        return np.concatenate((x.T @ (t - mu), (x.T @ (x * (mu * (1 - mu))[:, None]))[upper], [likely.sum()]))
+
+    keys = F.array(*[F.lit(k) for k in betas])
+    got = summed(rows, [*columns, target], keys if -1 in betas else F.array_except(keys, F.array("fold")), sums)
+    out = {}
+    for k, v in got.items():
+        out |= {f"g{k}": v[:p], f"h{k}": v[p:-1], f"l{k}": v[-1:]}
+    return out
+
+
 def _xlogy(x: float, y: float) -> float:
     return 0.0 if x == 0 else x * math.log(y) if y > 0 else -math.inf
 

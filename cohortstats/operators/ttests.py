@@ -27,7 +27,7 @@ def _conclude(t: float, df: float, centre: float, se: float, alpha: float, alter
         p, low = 1 - t_cdf(-t, df), "-Infinity"
     else:
         p = 2 * (1 - t_cdf(abs(t), df))
-    return {"p_value": p, "ci_lower": low, "ci_upper": high}
+    return {"p": p, "ci_lower": low, "ci_upper": high}
 
 
 def _ratio(a: float, b: float) -> float:
@@ -43,7 +43,7 @@ def ttest_onesample(df: DataFrame, y: str, mu: float = 0.0, alpha: float = 0.05,
     mean, sd = total / n, math.sqrt(max(dd - d * d / n, 0) / (n - 1))
     se = sd / math.sqrt(n)
     t = _ratio(mean - mu, se)
-    return {"n_obs": int(n), "t_value": t, "df": int(n - 1), "std": sd, "mean_diff": mean, "se_diff": se, "cohens_d": -_ratio(mean - mu, sd), **_conclude(t, n - 1, mean, se, alpha, alt_hypothesis)}
+    return {"n_obs": int(n), "t_stat": t, "df": int(n - 1), "std": sd, "mean_diff": mean, "se_diff": se, "cohens_d": -_ratio(mean - mu, sd), **_conclude(t, n - 1, mean, se, alpha, alt_hypothesis)}
 
 
 def ttest_paired(df: DataFrame, x: str, y: str, alpha: float = 0.05, alt_hypothesis: str = "two-sided") -> dict[str, Any]:
@@ -56,7 +56,7 @@ def ttest_paired(df: DataFrame, x: str, y: str, alpha: float = 0.05, alt_hypothe
     mean = sd / n
     se = math.sqrt(var(qd, sd) / n)
     t = _ratio((sa - sb) / n, se)
-    return {"t_value": t, "df": int(n - 1), "mean_diff": mean, "se_diff": se, "cohens_d": _ratio((sa - sb) / n, math.sqrt((var(qa, sa) + var(qb, sb)) / 2)), **_conclude(t, n - 1, mean, se, alpha, alt_hypothesis)}
+    return {"t_stat": t, "df": int(n - 1), "mean_diff": mean, "se_diff": se, "cohens_d": _ratio((sa - sb) / n, math.sqrt((var(qa, sa) + var(qb, sb)) / 2)), **_conclude(t, n - 1, mean, se, alpha, alt_hypothesis)}
 
 
 def ttest_independent(df: DataFrame, y: str, x: str, groupA, groupB, alpha: float = 0.05, alt_hypothesis: str = "two-sided") -> dict[str, Any]:  # noqa: N803
@@ -75,4 +75,4 @@ def ttest_independent(df: DataFrame, y: str, x: str, groupA, groupB, alpha: floa
     diff, se, dof = sa / na - sb / nb, math.sqrt(va / na + vb / nb), na + nb - 2
     t = _ratio(diff, se)
     pooled = math.sqrt(((na - 1) * va + (nb - 1) * vb) / dof)
-    return {"t_value": t, "df": int(dof), "mean_diff": diff, "se_diff": se, "cohens_d": _ratio(diff, pooled), **_conclude(t, dof, diff, se, alpha, alt_hypothesis)}
+    return {"t_stat": t, "df": int(dof), "mean_diff": diff, "se_diff": se, "cohens_d": _ratio(diff, pooled), **_conclude(t, dof, diff, se, alpha, alt_hypothesis)}

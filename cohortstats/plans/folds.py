@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BadUserInput
 from .cohort import SITE
+from .stable import settle
 
 
 def with_fold(df: DataFrame, n_splits: int, order: str, site: str = SITE) -> DataFrame:
@@ -15,7 +16,8 @@ def with_fold(df: DataFrame, n_splits: int, order: str, site: str = SITE) -> Dat
 
     The place of a row is its rank among its site's rows. It comes from a distributed rank: rows are
     range-partitioned by (site, order), counted within partitions, and the partitions' offsets (a few
-    numbers each) are added, so no site is gathered in one task as a window would do.
+    numbers each) are added, so no site is gathered in one task as a window would do. The numbered
+    rows are settled first: a partition that is computed again could hold other rows.
     """
     if n_splits < 2:
         raise BadUserInput("n_splits must be at least 2.")
@@ -23,7 +25,7 @@ def with_fold(df: DataFrame, n_splits: int, order: str, site: str = SITE) -> Dat
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.withColumn("__site", site_col).repartitionByRange(parts, "__site", order).sortWithinPartitions("__site", order)
     numbered = spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % F.lit(1 << 33))
-    numbered = numbered.persist()
+    numbered = settle(numbered)
     groups = numbered.groupBy("__site", "__part").agg(F.count("*").alias("n"), F.min("__at").alias("first")).collect()
     before: dict = {}
     rows = []

@@ -81,3 +81,34 @@ def gram(df: DataFrame, columns: list[Column]) -> np.ndarray:
     each = df.select(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(partial, "k int, v double")
     sums = {r.k: r.v for r in each.groupBy("k").agg(F.sum("v").alias("v")).collect()}
     return unpack_gram([sums.get(k, 0.0) for k in range(p * (p + 1) // 2)], p)
+
+
+def summed(df: DataFrame, columns: list[Column], keys: Column, sums) -> dict[int, np.ndarray]:
+    """For each key, the sum over its rows of a vector that ``sums(key, x)`` makes of a block of rows x.
+
+    ``keys`` is an array of whole numbers a row, those that the row counts for. Blocks are multiplied in
+    numpy where they are, and one row a key, task and place in the vector goes on.
+    """
+    p = len(columns)
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:p]], 1).astype(float)
+            of = b.column(p)
+            row, key = pa.compute.list_parent_indices(of).to_numpy(), of.flatten().to_numpy()
+            for k in np.unique(key).tolist():
+                got = sums(k, x[row[key == k]])
+                total[k] = total[k] + got if k in total else got
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["key", "at", "v"])
+
+    each = df.select(*[c.cast("double").alias(f"c{k}") for k, c in enumerate(columns)], keys.cast("array<int>").alias("keys")).mapInArrow(partial, "key int, at int, v double")
+    out: dict[int, dict[int, float]] = {}
+    for r in each.groupBy("key", "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r.key, {})[r["at"]] = r.v
+    return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}

@@ -92,18 +92,18 @@ def read_metadata(spark: SparkSession, folder: str) -> DataModel:
     return parse_metadata("\n".join(r[0] for r in spark.read.text(f"{folder}/CDEsMetadata.json", wholetext=True).collect()))
 
 
-def read_csv(spark: SparkSession, path: str, model: DataModel) -> DataFrame:
-    """One CSV with the model's declared types; columns that the model lacks stay strings, and every row
-    gets the ordinal that cross-validation orders by."""
+def read_csv(spark: SparkSession, path: str, model: DataModel, number: int = 0) -> DataFrame:
+    """One CSV with the model's declared types; columns that the model lacks stay strings, and every row gets
+    the ordinal that cross-validation orders by: the file's number among the model's, then the row's place."""
     raw = spark.read.csv(path, header=True, inferSchema=False)
     cast = [F.expr(f"try_cast(`{c}` as {model.cdes[c].field().dataType.simpleString()})").alias(c) if c in model.cdes else F.col(f"`{c}`") for c in raw.columns]
-    return raw.select(*cast, F.lit(path).alias("__file"), F.monotonically_increasing_id().alias("__ordinal"))
+    return raw.select(*cast, F.lit(path).alias("__file"), (F.lit(number << 50) + F.monotonically_increasing_id()).alias("__ordinal"))
 
 
 def load_model(spark: SparkSession, folder: str, csvs: list[str] | None = None) -> tuple[DataModel, DataFrame]:
     """The model and its table: all CSVs, columns that one lacks null there. A dataset may not span files."""
     model = read_metadata(spark, folder)
-    frames = [read_csv(spark, c, model) for c in csvs or next(iter(find_models(spark, folder).values()))]
+    frames = [read_csv(spark, c, model, k) for k, c in enumerate(csvs or next(iter(find_models(spark, folder).values())))]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     check_datasets(table)
     return model, table
