@@ -140,10 +140,10 @@ def cohort_gate(s, d):
     return cohort.gate_plan(rows, F.lit(rows.count() / 3.5)).groupBy("site").agg(F.count("*").alias("n"))
 
 
-@query("union_missing_columns", "SELECT 'o' AS src, k, price, CAST(NULL AS DOUBLE) AS qty FROM (SELECT o_orderkey AS k, o_totalprice AS price FROM orders) UNION ALL SELECT 'l', l_orderkey, l_extendedprice, l_quantity FROM lineitem WHERE l_linenumber = 1")
+@query("union_missing_columns", "SELECT 'o' AS src, k, price, CAST(NULL AS DOUBLE) AS qty FROM (SELECT o_orderkey AS k, o_totalprice AS price FROM orders) UNION ALL SELECT 'l', l_orderkey, l_extendedprice, l_quantity FROM lineitem")
 def union_missing(s, d):
     o = table(s, d, "orders").select(F.lit("o").alias("src"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
-    li = table(s, d, "lineitem").where("l_linenumber = 1").select(F.lit("l").alias("src"), F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"))
+    li = table(s, d, "lineitem").select(F.lit("l").alias("src"), F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"))
     return o.unionByName(li, allowMissingColumns=True)
 
 
@@ -287,7 +287,7 @@ _T = "df long, t double, mean_diff double, se double, d double"
 
 
 def _t(s, out: dict) -> DataFrame:
-    return rows_of(s, [(out["df"], r6(out["t_value"]), r6(out["mean_diff"]), r6(out["se_diff"]), r6(out["cohens_d"]))], _T)
+    return rows_of(s, [(out["df"], r6(out["t_stat"]), r6(out["mean_diff"]), r6(out["se_diff"]), r6(out["cohens_d"]))], _T)
 
 
 @query("ttest_onesample", "WITH t AS (SELECT count(*) AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem) SELECT n - 1 AS df, round((m - 25) / (sd / sqrt(n)), 6) + 0.0 AS t, round(m, 6) AS mean_diff, round(sd / sqrt(n), 6) AS se, round(-(m - 25) / sd, 6) + 0.0 AS d FROM t")
@@ -330,17 +330,19 @@ def tukey_pairs(s, d):
     return rows_of(s, [(p["groupA"], p["groupB"], r6(p["diff"]), r6(p["se"]), r6(p["t_stat"])) for p in out], "a string, b string, diff double, se double, t double")
 
 
-# two two-level factors: with p and q their indicators, the fit of both has a closed form by regression of p out of q and y
-_TWO = """WITH d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS p, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS q, l_extendedprice / 1000 AS y FROM lineitem WHERE l_returnflag IN ('A', 'R')),
-m AS (SELECT count(*) AS n, avg(p) AS mp, avg(q) AS mq, avg(y) AS my FROM d),
-s AS (SELECT any_value(n) AS n, sum((p-mp)*(p-mp)) AS pp, sum((q-mq)*(q-mq)) AS qq, sum((p-mp)*(q-mq)) AS pq, sum((p-mp)*(y-my)) AS py, sum((q-mq)*(y-my)) AS qy, sum((y-my)*(y-my)) AS yy FROM d, m),
-full_ AS (SELECT sum(v) AS rfull FROM (SELECT sum(y*y) - sum(y)*sum(y)/count(*) AS v FROM d GROUP BY p, q)),
-f AS (SELECT n, yy AS r0, yy - py*py/pp AS ra, yy - qy*qy/qq AS rb, yy - (py*py*qq - 2*py*qy*pq + qy*qy*pp)/(pp*qq - pq*pq) AS rab, rfull FROM s, full_)"""
-_TWO_OUT = " SELECT 'l_returnflag' AS term, 1 AS df, round({a}, 3) + 0.0 AS ss FROM f UNION ALL SELECT 'l_linestatus', 1, round({b}, 3) + 0.0 FROM f UNION ALL SELECT 'l_returnflag:l_linestatus', 1, round(rab - rfull, 3) + 0.0 FROM f UNION ALL SELECT 'Residuals', n - 4, round(rfull, 1) FROM f"
+# the second factor has two levels: the fit of both factors is that of its indicator within the first one's groups
+_TWO = """WITH d AS (SELECT l_returnflag AS g, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS q, l_extendedprice / 1000 AS y FROM lineitem),
+c AS (SELECT g, avg(q) AS mq, avg(y) AS my FROM d GROUP BY g),
+w AS (SELECT sum((q-mq)*(q-mq)) AS qq, sum((q-mq)*(y-my)) AS qy, sum((y-my)*(y-my)) AS ra FROM d JOIN c ON d.g = c.g),
+t AS (SELECT count(*) AS n, sum((y-m)*(y-m)) AS r0 FROM d, (SELECT avg(y) AS m FROM d)),
+b AS (SELECT sum(v) AS rb FROM (SELECT sum(y*y) - sum(y)*sum(y)/count(*) AS v FROM d GROUP BY q)),
+full_ AS (SELECT sum(v) AS rfull, count(*) AS cells, count(DISTINCT g) AS gs FROM (SELECT g, sum(y*y) - sum(y)*sum(y)/count(*) AS v FROM d GROUP BY g, q)),
+f AS (SELECT n, r0, ra, rb, ra - qy*qy/qq AS rab, rfull, cells, gs FROM w, t, b, full_)"""
+_TWO_OUT = " SELECT 'l_returnflag' AS term, gs - 1 AS df, round({a}, 3) + 0.0 AS ss FROM f UNION ALL SELECT 'l_linestatus', 1, round({b}, 3) + 0.0 FROM f UNION ALL SELECT 'l_returnflag:l_linestatus', gs - 1, round(rab - rfull, 3) + 0.0 FROM f UNION ALL SELECT 'Residuals', n - cells, round(rfull, 1) FROM f"
 
 
 def _two(s, d, kind: int) -> DataFrame:
-    t = table(s, d, "lineitem").where("l_returnflag in ('A', 'R')").withColumn("y", F.col("l_extendedprice") / 1000)
+    t = table(s, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
     a = anova.anova_twoway(t, "y", "l_returnflag", "l_linestatus", kind)
     return rows_of(s, [(term, int(df), round(float(v), 1 if term == "Residuals" else 3) + 0.0) for term, df, v in zip(a["terms"], a["df"], a["sum_sq"], strict=True)], "term string, df long, ss double")
 
@@ -561,5 +563,5 @@ def fedavg(s, d):
 @query("boosted_trees")
 def boosted(s, d):
     t = orders(s, d).withColumn("day", F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double"))
-    out = federated.boosted_trees(t, ["day", "o_totalprice"], F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0), rounds=2, depth=2)
+    out = federated.boosted_trees(t, ["day", "o_totalprice"], F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
     return rows_of(s, [(r6(out["AUC"]), r6(out["initial_auc"]), out["auc_ascending"])], "auc double, initial_auc double, auc_ascending string")
