@@ -107,17 +107,33 @@ class _Planes:
         self.point = (self.best + own) / 2
 
     def _solve(self) -> tuple[np.ndarray, float]:
-        """The planes' own minimum by steps over pairs of their weights, and its value."""
+        """The planes' own minimum, by its dual with an active set of planes, and a bound under the objective."""
         q = self.slopes @ (self.slopes / self.scale).T / self.ridge
         a = self.weights
-        for _ in range(5000):
+        for _ in range(20 * len(a)):
+            on = np.flatnonzero(a > 0)
+            k = len(on)
+            system = np.ones((k + 1, k + 1))
+            system[:k, :k], system[k, k] = q[np.ix_(on, on)] + 1e-12 * np.trace(q) / len(a) * np.eye(k), 0
+            want = np.linalg.lstsq(system, np.append(self.levels[on], 1), rcond=None)[0][:k]
+            low = np.flatnonzero(want < 0)
+            if len(low):  # as far as weights stay positive; the first that ends leaves the set
+                far = a[on][low] / (a[on][low] - want[low])
+                first = int(np.argmin(far))
+                a[on] += far[first] * (want - a[on])
+                a[on[low[first]]] = 0
+                a[:] = np.maximum(a, 0) / np.maximum(a, 0).sum()
+                continue
+            a[on] = want / want.sum()
             g = self.levels - q @ a
-            i, j = int(np.argmax(g)), int(np.argmin(np.where(a > 0, g, np.inf)))
-            if g[i] - g[j] < 1e-9 * max(1.0, abs(self.least)):
+            i = int(np.argmax(np.where(a > 0, -np.inf, g))) if k < len(a) else -1
+            if i < 0 or g[i] <= g[a > 0].max() + 1e-9 * max(1.0, abs(self.least)):
                 break
-            step = min(a[j], (g[i] - g[j]) / max(q[i, i] + q[j, j] - 2 * q[i, j], 1e-300))
-            a[i] += step
-            a[j] -= step
+            # the new plane takes weight from the others as far as that helps
+            d = -a.copy()
+            d[i] += 1
+            a += min(0.5, max(1e-12, (g @ d) / max(d @ q @ d, 1e-300))) * d
+        self.weights = a
         return -(self.slopes.T @ a) / self.scale / self.ridge, float(self.levels @ a - a @ q @ a / 2)
 
 
