@@ -2,17 +2,18 @@
 
 1. Each task hashes all windows of its documents. Within a group of some MB of text a
    window that a smaller doc_id of the group also has is decided on the spot; of the
-   others one row a hash and group goes on, so a window that a third of the corpus holds
-   costs one row a group and not one a document.
-2. Spark brings the rows of a hash together, in partitions whose number grows with the
-   input. The owner of a window is the smallest doc_id among its rows; every other row
-   is repeated and goes back to its document.
+   others one entry a hash and group is sent on, so a window that a third of the
+   corpus holds costs one entry a group and not one a document.
+2. Entries meet by hash, in buckets whose number grows with the input, so that a task
+   gets about the same whatever the corpus. The owner of a window is the smallest doc_id
+   that has it; every other entry goes back to its document.
 3. Documents meet their repeated windows in groups of documents, so that what is sent
    back is one row a group and task. Windows merge into maximal removal intervals, and
    the words outside of them are kept.
 
 The hash has 64 bits: a window out of N is wrongly seen as repeated with a chance
-of about N / 2**64.
+of about N / 2**64. Entries pack 7 bytes of hash, as the bucket has the eighth. (As rows of
+Spark, a hash and an id each, the entries alone take 3.5 times the input's disk.)
 """
 
 from __future__ import annotations
@@ -21,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NON_SPACE, by_value, chunks, covered, groups, mapped, partitions_for, runs, table, utf8, window_hashes, word_hashes, words
 
 WINDOW = 13
-#: Text whose windows are held at once, and rows that a task hands on at once.
-GROUP_BYTES, ROWS = 8 << 20, 1 << 16
-#: Groups of documents for each partition that they meet their windows in: many, so that partitions are alike.
-GROUPS_EACH = 32
-_ENTRY = pa.schema([("__hash", pa.int64()), ("__local", pa.bool_()), ("__doc", pa.int64()), ("__blob", pa.binary())])
+#: Buckets and groups of documents for each partition: many, so that partitions are alike.
+BUCKETS_EACH, GROUPS_EACH = 16, 32
+#: Text whose windows are held at once.
+GROUP_BYTES = 8 << 20
+_ENTRY = pa.schema([("__bucket", pa.int32()), ("__to", pa.int32()), ("__blob", pa.binary())])
 _FLAG = pa.schema([("__to", pa.int32()), ("__local", pa.bool_()), ("__blob", pa.binary())])
 
 
@@ -61,9 +63,9 @@ def _windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return *(np.concatenate(x) for x in zip(*out, strict=True)), counts
 
 
-def _entries(size: int, to_groups: int):
+def _entries(size: int, to_groups: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of (hash, doc_id); and, marked as local, of a group of documents and what is decided for it."""
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in groups(batches, 2, GROUP_BYTES):
             rows = pa.Table.from_batches([batch]).filter(pa.compute.is_valid(batch.column(0))).sort_by("__doc").combine_chunks()
             if not rows.num_rows:
@@ -80,12 +82,19 @@ def _entries(size: int, to_groups: int):
             local[order] = ids[rs] > owner
             if local.any():
                 to, blobs = _local(local, row, ids, texts, to_groups)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(to), bool)), pa.array(np.zeros(len(to), np.int64)), pa.array(blobs, pa.binary())], schema=_ENTRY)
-            hs, docs = hs[new].view(np.int64), ids[rs[new]]
-            del h, row, order, rs, local
-            for x in range(0, len(hs), ROWS):
-                n = min(ROWS, len(hs) - x)
-                yield pa.RecordBatch.from_arrays([pa.array(hs[x : x + n]), pa.array(np.zeros(n, bool)), pa.array(docs[x : x + n]), pa.nulls(n, pa.binary())], schema=_ENTRY)
+                # these rows are decided: they only pass through, dealt out by their group
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(to), pa.array(blobs, pa.binary())], schema=_ENTRY)
+            hs, docs = hs[new], ids[rs[new]]
+            bucket = (hs & np.uint64(buckets - 1)).astype(np.int32)
+            order = np.lexsort((docs, bucket))
+            hs, docs, bucket = hs[order] >> np.uint64(8), docs[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            found, blobs = [], []
+            for x, y in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(hs)])), strict=True):
+                if x < y:
+                    found.append(bucket[x])
+                    blobs.append(_pack(hs[x:y], docs[x:y], squeeze))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.nulls(len(found), pa.int32()), pa.array(blobs, pa.binary())], schema=_ENTRY)
 
     return run
 
@@ -102,25 +111,65 @@ def _local(local: np.ndarray, row: np.ndarray, ids: np.ndarray, texts: np.ndarra
     return np.array(list(out), np.int32), [np.concatenate(x).tobytes() for x in out.values()]
 
 
-def _sent(to_groups: int):
+def _pack(hs: np.ndarray, docs: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Entries sorted by document: how many, the squeezed doc_id steps, and seven bytes a hash."""
+    steps = np.diff(docs, prepend=0)
+    if len(steps) and steps[1:].max(initial=0) < 1 << 16:
+        head = squeeze.compress(np.concatenate((docs[:1].view(np.uint16), steps[1:].astype(np.uint16))).tobytes())
+        kind = 1
+    else:
+        head, kind = squeeze.compress(docs.tobytes()), 0
+    low = hs.view(np.uint8).reshape(-1, 8)[:, :7]
+    return np.array([kind, len(hs), len(head)], np.int64).tobytes() + head + low.tobytes()
+
+
+def _unpack(blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    kind, n, size = np.frombuffer(blob, np.int64, 3)
+    head = zstandard.ZstdDecompressor().decompress(blob[24 : 24 + size])
+    if kind:
+        steps = np.frombuffer(head, np.uint16)
+        docs = np.cumsum(np.concatenate((steps[:4].copy().view(np.int64), steps[4:].astype(np.int64))))
+    else:
+        docs = np.frombuffer(head, np.int64)
+    hs = np.zeros((n, 8), np.uint8)
+    hs[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, 24 + size).reshape(-1, 7)
+    return hs.view(np.uint64).ravel(), docs
+
+
+def _owners(to_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated windows by group of documents; what was decided before passes through."""
+        """Sends back each window whose owner is another document; what is decided passes through."""
         hs, docs = [], []
         for batch in batches:
-            local = batch.column(1)
-            if len(passed := batch.filter(local)):
-                yield pa.RecordBatch.from_arrays([passed.column(0).cast(pa.int32()), passed.column(1), passed.column(3)], schema=_FLAG)
-            rest = batch.filter(pa.compute.invert(local))
-            hs.append(rest.column(0).to_numpy())
-            docs.append(rest.column(2).to_numpy())
+            decided = pa.compute.is_valid(batch.column(1))
+            if passed := batch.filter(decided):
+                yield pa.RecordBatch.from_arrays([passed.column(1), pa.array([True] * len(passed)), passed.column(2)], schema=_FLAG)
+            rest = batch.filter(pa.compute.invert(decided))
+            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(2), strict=True):
+                h, d = _unpack(memoryview(blob.as_buffer()))
+                hs.append((h << np.uint64(8)) | np.uint64(bucket & 255))
+                docs.append(d)
         if hs:
-            yield _packed(np.concatenate(hs), np.concatenate(docs), to_groups)
+            yield from _sent(hs, docs, to_groups)
 
     return run
 
 
-def _packed(h: np.ndarray, d: np.ndarray, to_groups: int) -> pa.RecordBatch:
+def _sent(hs: list, docs: list, to_groups: int) -> Iterator[pa.RecordBatch]:
     """For each group of documents: how many ids, the ids, how many hashes each, the hashes."""
+    h, d = np.concatenate(hs), np.concatenate(docs)
+    hs.clear(), docs.clear()
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    single = new.copy()
+    single[:-1] &= new[1:]  # alone with its hash: nothing to send back
+    h, order, new = h[~single], order[~single], new[~single]
+    d = d[order]
+    at = np.flatnonzero(new)
+    back = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(d)))) if len(at) else np.zeros(0, bool)
+    h, d = h[back], d[back]
     to = _group_of(d, to_groups)
     order = np.lexsort((d, to))
     h, d, to = h[order], d[order], to[order]
@@ -130,8 +179,8 @@ def _packed(h: np.ndarray, d: np.ndarray, to_groups: int) -> pa.RecordBatch:
         if x < y:
             ids, counts = np.unique(d[x:y], return_counts=True)
             groups_.append(to[x])
-            blobs.append(np.concatenate(([len(ids)], ids, counts, h[x:y])).astype(np.int64).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(groups_, pa.int32()), pa.array([False] * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], schema=_FLAG)
+            blobs.append(np.concatenate(([len(ids)], ids, counts, h[x:y].view(np.int64))).astype(np.int64).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(groups_, pa.int32()), pa.array([False] * len(blobs)), pa.array(blobs, pa.binary())], schema=_FLAG)
 
 
 def _remove(size: int):
@@ -199,13 +248,10 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     another. Other columns play no part. An empty table gives an empty result.
     """
     parts = partitions_for(docs)
-    to_groups = GROUPS_EACH * parts + 1
+    to_groups, buckets = GROUPS_EACH * parts + 1, max(256, 1 << (BUCKETS_EACH * parts - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__words"))
-    found = rows.select(F.col("doc_id").alias("__doc"), "__text", "__words").transform(mapped, _entries(size, to_groups), "__hash long, __local boolean, __doc long, __blob binary")
-    # the smallest doc_id of each hash, in the one order that the rows of a partition are sorted in
-    owner = F.first("__doc").over(Window.partitionBy("__hash", "__local").orderBy("__doc"))
-    repeated = found.repartition(parts, "__hash", "__local").withColumn("__owner", owner).where("__local or __owner < __doc").drop("__owner")
-    flags = repeated.transform(mapped, _sent(to_groups), "__to int, __local boolean, __blob binary")
+    found = rows.select(F.col("doc_id").alias("__doc"), "__text", "__words").transform(mapped, _entries(size, to_groups, buckets), "__bucket int, __to int, __blob binary")
+    flags = found.repartition(parts, "__bucket").transform(mapped, _owners(to_groups), "__to int, __local boolean, __blob binary")
     no = lambda kind: F.lit(None).cast(kind)
     flags = flags.select("__to", F.lit(0).alias("__kind"), "__local", no("long").alias("doc_id"), no("long").alias("__text"), no("string").alias("__words"), "__blob")
     texts = rows.where("doc_id is not null").select(_group_column("doc_id", to_groups).alias("__to"), F.lit(1).alias("__kind"), no("boolean").alias("__local"), "doc_id", "__text", "__words", no("binary").alias("__blob"))
