@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from .errors import BadRequest, BadUserInput
 from .operators import anova, correlation, descriptive, federated, kmeans, naive_bayes, regression, ttests
-from .plans import cohort, longitudinal
+from .plans import cohort, landscape, longitudinal
 from .plans.cohort import DATASET, SITE, InputData
 from .plans.design import design, observed_levels
+from .registry import Algorithm, algorithms_in, checked
 from .sources.csv_models import CDE, DataModel
-from .specs import SPECS, validate_request
+from .specs import SPECS, Spec, validate_request
 
 #: Columns that give a table's rows a stable order for cross-validation, the first that is there.
 ORDER_COLUMNS = ("__ordinal", "row_id", "subjectcode")
@@ -33,19 +34,55 @@ class Engine:
         self.tables: dict[str, DataFrame] = {}
         self.validation: dict[str, list[str]] = {}
         self._datasets: dict[str, list[str]] = {}
+        self._named: dict[str, list[str] | None] = {}
+        self.plugins: dict[str, type[Algorithm]] = {}
+        self.learner_input: dict[str, Any] = {}  # of the last request to learn within sites
+        self.learner_result: Any = None
+
+    def add_algorithm(self, algorithm: type[Algorithm]) -> None:
+        self.plugins[algorithm.spec.name] = checked(algorithm, self.specs)
+
+    def discover(self, *folders: str) -> list[str]:
+        """Adds the algorithms of the folders' Python files; their names."""
+        found = algorithms_in(folders)
+        for algorithm in found:
+            self.add_algorithm(algorithm)
+        return [a.spec.name for a in found]
+
+    @property
+    def specs(self) -> dict[str, Spec]:
+        return {**SPECS, **{n: a.spec for n, a in self.plugins.items()}}
 
     def register(self, model: DataModel, table: DataFrame, validation_datasets: list[str] | None = None, datasets: list[str] | None = None) -> None:
         """``datasets``: the names, where they are known; otherwise they are read from the table."""
         self.models[model.name], self.tables[model.name] = model, table
         self.validation[model.name] = list(validation_datasets or [])
-        found = datasets if datasets is not None else [r[0] for r in table.select(DATASET).distinct().collect()] if DATASET in table.columns else []
-        self._datasets[model.name] = sorted(d for d in found if d and d not in self.validation[model.name])
+        self._named[model.name] = datasets
+        self._read_datasets(model.name)
+
+    def _read_datasets(self, model: str) -> None:
+        table, named = self.tables[model], self._named[model]
+        found = named if named is not None else [r[0] for r in table.select(DATASET).distinct().collect()] if DATASET in table.columns else []
+        self._datasets[model] = sorted(d for d in found if d and d not in self.validation[model])
+
+    def refresh(self) -> None:
+        """Reads the tables' data sets again."""
+        for model in self.models:
+            self._read_datasets(model)
+
+    def locations(self, model: str) -> dict[str, str]:
+        """The site of each data set; one that several sites hold is nowhere."""
+        table = self.tables[model]
+        if not {DATASET, SITE} <= set(table.columns):
+            return {}
+        rows = landscape.unique_datasets(table.where(f"{DATASET} is not null"), (DATASET,), SITE).collect()
+        return {r[DATASET]: r[SITE] for r in sorted(rows)}
 
     def datasets(self, model: str) -> list[str]:
         return self._datasets[model]
 
     def algorithms(self) -> list[str]:
-        return sorted(n for n, s in SPECS.items() if s.enabled)
+        return sorted(n for n, s in self.specs.items() if s.enabled)
 
     def cdes_metadata(self, model: str) -> dict[str, CDE]:
         return self.models[model].cdes
@@ -58,7 +95,8 @@ class Engine:
         if data.data_model not in self.models:
             raise BadUserInput(f"Data model '{data.data_model}' does not exist.")
         model, table = self.models[data.data_model], self.tables[data.data_model]
-        spec = validate_request(algorithm, request, model.cdes, self._datasets[model.name], self.validation[model.name], self.smpc)
+        spec = validate_request(algorithm, request, model.cdes, self._datasets[model.name], self.validation[model.name], self.smpc, self.specs)
+        plugin = self.plugins.get(algorithm)
         categorical = {c for c in data.variables if model.cdes[c].is_categorical}
         order = next((c for c in ORDER_COLUMNS if c in table.columns), None)
         if algorithm == "descriptive_stats":
@@ -67,10 +105,11 @@ class Engine:
             return descriptive.descriptive_stats(rows, [v for v in names if v not in categorical], [v for v in names if v in categorical], list(data.datasets), self.min_rows)
         pre = (request.get("preprocessing") or {}).get("longitudinal_transformer")
         extra = ("subjectid", "visitid") if pre else ()
-        rows = cohort.select_rows(table, data, extra=extra, keep=(DATASET, SITE, *((order,) if order else ())))
+        rows = cohort.select_rows(table, data, dropna=plugin is None or plugin.drop_na_rows, extra=extra, keep=(DATASET, SITE, *((order,) if order else ())))
         enums = {c: list(model.cdes[c].enumerations) for c in categorical}
         rows = cohort.coerce_enumerations(rows, enums)
-        rows = cohort.gate(rows, self.min_rows)
+        if plugin is None or plugin.check_min_rows:
+            rows = cohort.gate(rows, self.min_rows)
         y, x = list(data.y), list(data.x)
         if pre:
             strategies = pre["strategies"]
@@ -83,7 +122,11 @@ class Engine:
         if spec.validation and DATASET in rows.columns:  # validation data sets never train
             held_out = rows.where(F.col(DATASET).isin(*data.validation_datasets))
             rows = rows.where(F.col(DATASET).isin(*data.datasets))
-        return _RUN[spec.name](_Call(rows, y, x, p, [v for v in x if v in categorical], y[0] in categorical, enums, order, self.min_rows, held_out))
+            self.learner_input = request.get("inputdata") or {}
+        if plugin is not None and not plugin.add_dataset_variable and DATASET not in data.variables:
+            rows = rows.drop(DATASET)
+        run = _RUN[spec.name] if plugin is None else plugin().run
+        return run(_Call(rows, y, x, p, [v for v in x if v in categorical], y[0] in categorical, enums, order, self.min_rows, held_out))
 
 
 class _Call:
@@ -99,7 +142,7 @@ class _Call:
     def matrix(self):
         levels = observed_levels(self.rows, self.cats)
         labels, columns = design(levels, [v for v in self.x if v not in self.cats])
-        target = F.when(F.col(f"`{self.y[0]}`").cast("string") == str(self.enums.get(self.y[0], [None, 1])[-1]), 1.0).otherwise(0.0)
+        target = F.when(F.col(f"`{self.y[0]}`").cast("string") == max(map(str, self.enums.get(self.y[0]) or [1])), 1.0).otherwise(0.0)
         return labels, columns, target
 
 

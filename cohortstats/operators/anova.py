@@ -29,6 +29,7 @@ def anova_oneway(df: DataFrame, y: str, x: str, categories: list | None = None)
     found = {r[0]: r for r in groups_of(df, y, x).collect() if r[0] is not None and r.n}
     levels = [c for c in (categories or sorted(found)) if c in found]
     if len(levels) < 2:
+        # fixed text: clients match this message
         raise BadUserInput("Cannot perform Anova one-way. Covariable has only one level.")
     n, s, q = (np.array([float(found[c][k]) for c in levels]) for k in ("n", "s", "q"))
     total, means = n.sum(), s / n
@@ -69,6 +70,7 @@ def anova_twoway(df: DataFrame, y: str, x1: str, x2: str, sstype: int = 2, level
     a = list(levels1 or sorted({r[0] for r in cells}))
     b = list(levels2 or sorted({r[1] for r in cells}))
     if len(a) < 2 or len(b) < 2:
+        # fixed text: clients match this message
         raise BadUserInput("Cannot perform Anova when there is only one level.")
     n = np.array([float(r.n) for r in cells])
     mean, total_q = np.array([r.s / r.n for r in cells]), sum(r.q for r in cells)

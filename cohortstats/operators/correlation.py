@@ -79,6 +79,7 @@ def pca_with_transformation(df: DataFrame, y: list[str], data_transformation: di
     if logs:
         low = Round().min("m", *[columns[c] for c in logs]).run(df)["m"]
         if (low <= 0).any():
+            # fixed text: clients match this message
             raise BadUserInput(f"Log transformation cannot be applied to non-positive values in column '{logs[int(np.argmax(low <= 0))]}'.")
     for c in logs:
         columns[c] = F.log(columns[c])
@@ -94,6 +95,7 @@ def pca_with_transformation(df: DataFrame, y: list[str], data_transformation: di
             if c in wanted.get("standardize", []):
                 sd = math.sqrt(max(q - t * t / n, 0) / (n - 1)) if n > 1 else 0.0
                 if sd == 0:
+                    # fixed text: clients match this message
                     raise BadUserInput(f"Standardization cannot be applied to column '{c}' because its standard deviation is zero.")
                 columns[c] = columns[c] / F.lit(sd)
     return _components(df, [columns[c] for c in y], y)

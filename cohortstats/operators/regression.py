@@ -122,8 +122,10 @@ def newton(rows: DataFrame, columns: list[Column], target: Column, held_out: lis
     for k in keys:
         n, ones = sums[f"m{k}"]
         if n <= p:
+            # fixed text: clients match this message
             raise BadUserInput("Logistic regression cannot run because the number of observations is smaller than the number of predictors.")
         if min(ones, n - ones) <= p:
+            # fixed text: clients match this message
             raise BadUserInput("Logistic regression cannot run because the number of observations in one category is smaller than the number of predictors.")
         out[k] = {"n_obs": int(n), "y_sum": float(ones), "beta": np.zeros(p), "done": False}
     for _ in range(MAX_ITER):
@@ -141,6 +143,7 @@ def newton(rows: DataFrame, columns: list[Column], target: Column, held_out: lis
             out[k].update(beta=out[k]["beta"] + inverse @ grad, inverse=inverse, ll=float(s[f"l{k}"][0]), done=bool(np.abs(grad).max() <= TOL))
     if all(m["done"] for m in out.values()):
         return out
+    # fixed text: clients match this message
     raise BadUserInput("Logistic regression cannot converge. Cancelling run.")
 
 

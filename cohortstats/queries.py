@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anova, correlation, descriptive, federated, kmeans, naive_bayes, regression, roc, ttests
+from .operators import anova, correlation, descriptive, federated, kmeans, moments, naive_bayes, regression, roc, ttests
 from .plans import cohort, folds, landscape, longitudinal
 from .plans.cohort import InputData
 from .plans.rounds import Round
@@ -544,7 +544,22 @@ def event_windows(s, d):
     return out.select("start", "event_type", "n", (F.round("mean", 6) + 0.0).alias("mean"), "lo", "hi")
 
 
-# ---- learners fitted within sites (no SQL)
+# ---- averages and deviations
+
+
+@query("compute_average", f"SELECT 'l_quantity' AS variable, round(avg(l_quantity), 6) + 0.0 AS average FROM lineitem UNION ALL SELECT 'discount', round(avg(discount), 6) + 0.0 FROM {ITEMS}")
+def averages(s, d):
+    name, mean = moments.compute_average(items(s, d), ["l_quantity", "discount"])["columns"]
+    return rows_of(s, [(n, r6(m)) for n, m in zip(name["data"], mean["data"], strict=True)], "variable string, average double")
+
+
+@query("standard_deviation", "SELECT 'l_extendedprice' AS variable, round(stddev_pop(l_extendedprice), 6) + 0.0 AS std_deviation FROM lineitem")
+def deviation(s, d):
+    name, sd = moments.standard_deviation(items(s, d), "l_extendedprice")["columns"]
+    return rows_of(s, [(name["data"][0], r6(sd["data"][0]))], "variable string, std_deviation double")
+
+
+# ---- learners fitted within sites
 
 
 @query("svm_linear")
@@ -554,10 +569,20 @@ def svm_linear(s, d):
     return rows_of(s, [(k, r6(w)) for k, w in zip(["x", "l_quantity"], out["weights"], strict=True)], "variable string, weight double")
 
 
-@query("fedavg_logistic")
+def _fedavg_sql(rounds: int) -> str:
+    """The penalised step of every site from the shared weights, and the row-weighted mean of the sites', a round."""
+    out = [f"d AS (SELECT site, o_totalprice / 100000 AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS t FROM {ORDERS})", "b0 AS (SELECT 0.0 AS b0, 0.0 AS b1)"]
+    for i in range(rounds):
+        out.append(f"m{i} AS (SELECT site, x, t, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM d, b{i})")
+        out.append(f"s{i} AS (SELECT site, count(*) AS n, b0 + (sum(t - m) - b0) / (sum(m * (1 - m)) + 1) AS b0, b1 + (sum(x * (t - m)) - b1) / (sum(x * x * m * (1 - m)) + 1) AS b1 FROM m{i} GROUP BY site, b0, b1)")
+        out.append(f"b{i + 1} AS (SELECT sum(n * b0) / sum(n) AS b0, sum(n * b1) / sum(n) AS b1 FROM s{i})")
+    return "WITH " + ",\n".join(out) + f" SELECT round(any_value(b0), 6) + 0.0 AS b0, round(any_value(b1), 6) + 0.0 AS b1, round(avg(CASE WHEN (b0 + b1 * x >= 0) = (t = 1) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM d, b{rounds}"
+
+
+@query("fedavg_logistic", _fedavg_sql(5))
 def fedavg(s, d):
     out = federated.fedavg_logistic(orders(s, d), [F.lit(1.0), F.col("o_totalprice") / 100000], F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
-    return rows_of(s, [(r6(out["accuracy"]),)], "accuracy double")
+    return rows_of(s, [(*[r6(b) for b in out["coefficients"]], r6(out["accuracy"]))], "b0 double, b1 double, accuracy double")
 
 
 @query("boosted_trees")

@@ -9,18 +9,19 @@ from typing import Any
 
 from .engine import Engine
 from .errors import BadRequest, CohortError, status_of
-from .specs import SPECS
+from .specs import TRANSFORMERS, Spec
 
 
-def spec_dto(name: str) -> dict[str, Any]:
-    """What a client needs to build a request: inputs, parameters, and the steps and flags that go with it."""
-    s = SPECS[name]
+def spec_dto(s: Spec) -> dict[str, Any]:
+    """What a client needs to build a request: inputs, parameters with their labels and defaults, and the steps and flags that go with it."""
     inputs = {"data_model": {"required": True}, "datasets": {"required": True, "multiple": True}, "filter": {"required": False}, "y": asdict(s.y)}
     if s.x is not None:
         inputs["x"] = asdict(s.x)
     if s.validation:
         inputs["validation_datasets"] = {"required": True, "multiple": True}
-    return {"name": name, "inputdata": inputs, "parameters": {k: asdict(p) for k, p in s.parameters.items()}, "preprocessing": ["longitudinal_transformer"] if s.longitudinal else [], "flags": ["smpc"]}
+    listed = lambda parameters: {k: {**asdict(p), "label": p.label or k} for k, p in parameters.items()}
+    steps = [{"name": step, "parameters": listed(p)} for step, p in TRANSFORMERS.items()] if s.longitudinal else []
+    return {"name": s.name, "label": s.label or s.name.replace("_", " ").capitalize(), "desc": s.desc, "inputdata": inputs, "parameters": listed(s.parameters), "preprocessing": steps, "flags": ["smpc"]}
 
 
 def dispatch(engine: Engine, method: str, path: str, body: dict[str, Any] | None = None) -> tuple[int, Any]:
@@ -33,15 +34,25 @@ def dispatch(engine: Engine, method: str, path: str, body: dict[str, Any] | None
 
                 return 200, {"healthy": healthcheck(engine.spark)}
             if parts[0] == "algorithms":
-                return 200, [spec_dto(n) for n in engine.algorithms()]
+                return 200, [spec_dto(engine.specs[n]) for n in engine.algorithms()]
             if parts[0] == "datasets":
                 return 200, {m: engine.datasets(m) for m in engine.models}
+            if parts[0] == "datasets_locations":
+                return 200, {m: engine.locations(m) for m in engine.models}
             if parts[0] == "datasets_variables":
                 return 200, {m: {d: list(engine.cdes_metadata(m)) for d in engine.datasets(m)} for m in engine.models}
             if parts[0] == "cdes_metadata":
                 return 200, {m: {c: asdict(v) for c, v in engine.cdes_metadata(m).items()} for m in engine.models}
             if parts[0] == "data_models_attributes":
                 return 200, {m: {"tags": list(v.tags), "properties": v.properties, "longitudinal": v.longitudinal} for m, v in engine.models.items()}
+        if (method, parts) == ("POST", ["wla"]):
+            engine.refresh()
+            return 200, ""
+        if (method, parts) == ("GET", ["flower", "input"]):
+            return 200, engine.learner_input
+        if (method, parts) == ("POST", ["flower", "result"]):
+            engine.learner_result = body
+            return 200, {"message": "Result set successfully"}
         if method == "POST" and len(parts) == 2 and parts[0] == "algorithms":
             if not isinstance(body, dict) or unknown_keys(body):
                 raise BadRequest(f"The request body is not valid: {sorted(unknown_keys(body)) if isinstance(body, dict) else body!r}.")

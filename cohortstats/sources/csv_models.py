@@ -138,6 +138,12 @@ def metadata_frames(spark: SparkSession, models: list[DataModel], tables: dict[s
     return out
 
 
+def enabled_datasets(frames: dict[str, DataFrame]) -> DataFrame:
+    """data_model and dataset of what is enabled, of models that are enabled."""
+    models = frames["data_models"].where("status = 'ENABLED'").select("data_model")
+    return frames["datasets"].where("status = 'ENABLED'").join(F.broadcast(models), "data_model", "left_semi").select("data_model", "dataset")
+
+
 def healthcheck(spark: SparkSession) -> bool:
     return spark.range(1).select(F.lit("HEALTHCHECK").alias("h")).first()["h"] == "HEALTHCHECK"
 
