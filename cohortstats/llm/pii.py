@@ -3,9 +3,13 @@
 Patterns of form (e-mail, address, card and phone numbers) find seed entities in every
 whole text. The words around seeds induce lexical patterns: the two words before, or the
 word before and the word after. A second pass counts all that stands in the slots of the
-induced patterns. Spark then scores the graph of patterns and instances: a pattern is
-worth the share of its slots that hold believed instances, an instance is believed as far
-as the patterns that it stands in are. What confident patterns believe is added.
+induced patterns: a slot holds the whole seed that begins there, or neighbouring words
+with digits, or one word. Spark then scores the graph of patterns and instances: a pattern
+is worth the share of its slots that hold believed instances, an instance is believed as
+far as the patterns that it stands in are. A third pass reads the slots of the confident
+patterns. Words of any form there count as far as their patterns do, times the share of
+the word's occurrences in the corpus that stand in such slots: ordinary words occur
+elsewhere, names that are only ever written there don't. What is believed is added.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, by_value, checkpoint, chunks, mapped, mix, table, utf8, word_hashes, words
+from .common import LOWER, NON_SPACE, by_value, checkpoint, chunks, mapped, mix, table, utf8, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "found")
-#: Distinct seeds that induce a pattern, patterns sent at a time (8 bytes each; one pass over the texts
-#: a block), rounds of scoring, and what a pattern and an instance must reach.
+#: Distinct seeds that induce a pattern, patterns or words sent at a time (8 bytes each; one pass over the
+#: texts a block), rounds of scoring, and what a pattern and an instance must reach.
 MIN_SEEDS, PATTERNS, ROUNDS, CONFIDENT, BELIEVED = 5, 1_000_000, 3, 0.8, 0.8
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,6 +40,10 @@ _WORD_FORM = np.arange(256, dtype=np.uint8)
 _WORD_FORM[65:91] += 32
 _WORD_FORM[48:58] = 48
 _AROUND = b"()[]{}<>.,;:!?\"'`*#$%&"
+_INNER = np.ones(256, bool)
+_INNER[list(_AROUND)] = False
+#: Neighbouring words with digits are one identifier up to this many digits (those of the longest card).
+_DIGITS = 19
 
 
 def luhn(digits: bytes) -> bool:
@@ -133,41 +141,163 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, spans_type), pa.array(seeds, seeds_type)], names=["doc_id", "__key", "base", "seeds"])
 
 
+class _Fills:
+    """The words of a chunk of texts as fillings of slots: where each ends, and which are like identifiers."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        self.raw, self.at = raw, at
+        self.starts, self.ends, self.bounds = words(raw, at, NON_SPACE)
+        self.h = word_hashes(_WORD_FORM[raw], self.starts, self.ends)
+        self.doc = np.repeat(np.arange(len(at) - 1), np.diff(self.bounds))
+        self.digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
+        ats = np.concatenate(([0], np.cumsum(raw == 64)))
+        self.numeric = self.digits[self.ends] > self.digits[self.starts]
+        self.marked = self.numeric | (ats[self.ends] > ats[self.starts])
+        self.last = np.arange(len(self.h))
+        grow = np.flatnonzero(self.numeric)
+        while len(grow):  # as long as the next word has digits, too, and there aren't too many
+            to = self.last[grow] + 1
+            good = to < self.bounds[self.doc[grow] + 1]
+            grow, to = grow[good], to[good]
+            good = self.numeric[to] & (self.digits[self.ends[to]] - self.digits[self.starts[grow]] <= _DIGITS)
+            grow = grow[good]
+            self.last[grow] += 1
+        self.like = (self.digits[self.ends[self.last]] - self.digits[self.starts] >= 4) | (ats[self.ends] > ats[self.starts])
+        self.inside = np.zeros(len(self.h), bool)
+        self.seeds: dict[int, tuple[int, int]] = {}
+
+    def place_seeds(self, docs: np.ndarray) -> None:
+        """Words that begin a seed stand for all of it; its other words fill nothing."""
+        for k in docs.tolist():
+            zero, low, high = int(self.at[k]), int(self.bounds[k]), int(self.bounds[k + 1])
+            text = self.raw[zero : self.at[k + 1]].tobytes()
+            for s, _, e in base_spans(text):
+                f = low + int(np.searchsorted(self.starts[low:high], zero + s, "right")) - 1
+                if text[self.starts[f] - zero : s].strip(_AROUND) or f in self.seeds and self.seeds[f][1] >= zero + e:
+                    continue
+                self.seeds[f] = zero + s, zero + e
+                self.last[f] = low + int(np.searchsorted(self.ends[low:high], zero + e, "left"))
+                self.like[f] = True
+        for f in self.seeds:
+            self.inside[f + 1 : self.last[f] + 1] = True
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        return _contexts(self.h, np.arange(len(self.h)), self.last, self.bounds[self.doc], self.bounds[self.doc + 1])
+
+    def span(self, w: int) -> tuple[int, int]:
+        """Bytes of the filling that begins at word w, without what stands around it."""
+        if w in self.seeds:
+            return self.seeds[w]
+        text = self.raw[self.starts[w] : self.ends[self.last[w]]].tobytes()
+        a = int(self.starts[w]) + len(text) - len(text.lstrip(_AROUND))
+        return a, a + len(text.strip(_AROUND))
+
+    def hits(self, patterns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words whose slots are of the patterns, and the patterns, for both kinds of context."""
+        self.place_seeds(np.unique(self.doc[self.marked]))
+        for pattern in self.contexts():
+            found = np.flatnonzero(_among(pattern, patterns) & ~self.inside)
+            yield found, pattern[found].view(np.int64)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _cores(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words in lower case without what stands around them; 0 if nothing is left."""
+    inner = np.append(np.flatnonzero(_INNER[raw]), len(raw))
+    a, b = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+    some = b > a
+    out = np.zeros(len(starts), np.uint64)
+    out[some] = word_hashes(LOWER[raw], inner[a[some]], inner[b[some] - 1] + 1) | np.uint64(1)
+    return out
+
+
+def _long(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
 def _slots(send):
-    """What stands in the slots of the patterns: like identifiers, one by one; other words, counted."""
+    """How often what fills the slots of the patterns: like identifiers, one by one; other words, all in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = send.value
+        for batch in batches:
+            n: dict[tuple, int] = {}
+            for _, at, raw in _pieces(batch.column(2)):
+                fills = _Fills(raw, at)
+                for found, pattern in fills.hits(patterns):
+                    like = fills.like[found]
+                    for p, k in zip(*np.unique(pattern[~like], return_counts=True), strict=True):
+                        n[int(p), None] = n.get((int(p), None), 0) + int(k)
+                    for w, p in zip(found[like].tolist(), pattern[like].tolist(), strict=True):
+                        a, b = fills.span(w)
+                        key = p, _instance(raw[a:b].tobytes())
+                        n[key] = n.get(key, 0) + 1
+            yield _long([[p for p, _ in n], [i for _, i in n], list(n.values())], ["pattern", "instance", "n"])
+
+    return run
+
+
+def _found(send):
+    """What fills the slots of the patterns, with its place; ``first`` is 0 where a place was given before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = send.value
         for batch in batches:
-            other: dict[int, int] = {}
             rows = []
             ids, keys = batch.column(0), batch.column(1)
-            for a, at, raw in _pieces(batch.column(2)):
-                starts, ends, bounds = words(raw, at, NON_SPACE)
-                h = word_hashes(_WORD_FORM[raw], starts, ends)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
-                every = np.arange(len(h))
-                digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
-                ats = np.concatenate(([0], np.cumsum(raw == 64)))
-                like = (digits[ends] - digits[starts] >= 4) | (ats[ends] > ats[starts])
+            for first, at, raw in _pieces(batch.column(2)):
+                fills = _Fills(raw, at)
                 points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-                for pattern in _contexts(h, every, every, bounds[doc], bounds[doc + 1]):
-                    place = np.minimum(np.searchsorted(patterns, pattern), len(patterns) - 1)
-                    hit = patterns[place] == pattern
-                    for p, n in zip(*np.unique(pattern[hit & ~like].view(np.int64), return_counts=True), strict=True):
-                        other[int(p)] = other.get(int(p), 0) + int(n)
-                    for w in np.flatnonzero(hit & like).tolist():
-                        text = raw[starts[w] : ends[w]].tobytes()
-                        core = text.strip(_AROUND)
-                        s = int(starts[w]) + len(text) - len(text.lstrip(_AROUND))
-                        zero = points[at[doc[w]]]
-                        rows.append((int(pattern[w].view(np.int64)), _instance(core), 1, ids[a + doc[w]].as_py(), keys[a + doc[w]].as_py(), int(points[s] - zero), int(points[s + len(core)] - zero)))
-            rows += [(p, None, n, None, None, None, None) for p, n in other.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.nulls(0, pa.int64())] * 7, names=["pattern", "instance", "n", "doc_id", "__key", "start", "end"])
+                seen = set()
+                for found, pattern in fills.hits(patterns):
+                    cores = _cores(raw, fills.starts[found], fills.ends[found]).view(np.int64)
+                    for w, p, core in zip(found.tolist(), pattern.tolist(), cores.tolist(), strict=True):
+                        a, b = fills.span(w)
+                        if a < b:
+                            like, k = bool(fills.like[w]), first + int(fills.doc[w])
+                            zero = points[at[fills.doc[w]]]
+                            rows.append((p, _instance(raw[a:b].tobytes()) if like else core, int(like), int(w not in seen), ids[k].as_py(), keys[k].as_py(), int(points[a] - zero), int(points[b] - zero)))
+                            seen.add(w)
+            yield _long(list(zip(*rows, strict=True)) if rows else [[]] * 8, ["pattern", "instance", "like", "first", "doc_id", "__key", "start", "end"])
+
+    return run
+
+
+def _occurrences(send):
+    """How often the given words occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = send.value
+        for batch in batches:
+            total = np.zeros(len(known), np.int64)
+            for _, at, raw in _pieces(batch.column(2)):
+                starts, ends, _ = words(raw, at, NON_SPACE)
+                cores = _cores(raw, starts, ends)
+                total += np.bincount(np.searchsorted(known, cores[_among(cores, known)]), minlength=len(known))
+            some = np.flatnonzero(total)
+            yield _long([known[some].view(np.int64), total[some]], ["instance", "n"])
 
     return run
 
 
+def _in_blocks(rows: DataFrame, keys: DataFrame, size: int, run, schema: str) -> tuple[DataFrame, int] | tuple[None, int]:
+    """What a pass over the rows gives for the keys (one long column), ``size`` of them sent at a time; and the number of blocks."""
+    total, out = keys.count(), None
+    blocks = -(-total // size)
+    for k in range(blocks):
+        block = keys.where(F.pmod(F.xxhash64(keys.columns[0]), F.lit(blocks)) == k) if blocks > 1 else keys
+        block = np.sort(block.toArrow()[0].to_numpy().view(np.uint64))
+        if len(block):
+            send = rows.sparkSession.sparkContext.broadcast(block)
+            part = checkpoint(rows.transform(mapped, run(send), schema))
+            send.unpersist()
+            out = part if out is None else out.unionByName(part)
+    return out, blocks
+
+
 def score_graph(pairs: DataFrame, rounds: int = ROUNDS, few: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pattern, confidence) and (instance, belief) after the rounds.
 
@@ -193,32 +323,37 @@ def find_personal(docs: DataFrame, min_seeds: int = MIN_SEEDS, patterns: int = P
 
     A null or empty text has none. Rows with equal id and text get equal spans. A null id is an
     id like any other. Found spans never overlap base spans of their row. An empty table gives an
-    empty result. Every pattern of ``min_seeds`` seeds is scored, ``patterns`` of them in a pass.
+    empty result. Every pattern of ``min_seeds`` seeds is scored, ``patterns`` of them in a pass. Very
+    long texts are read whole, in time linear in their length but for the number of their slots.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__key"), F.col("text").alias("__text"))
     kind = "array<struct<start:long,rank:int,end:long>>"
     base = checkpoint(rows.transform(mapped, _seeds, f"doc_id long, __key long, base {kind}, seeds array<struct<pattern:long,instance:long>>"))
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*").distinct()
     induced = checkpoint(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern"))
-    total = induced.count()
-    if not total:
-        return base.select("doc_id", "base", F.col("base").alias("spans"))
-    slots = None
-    blocks = -(-total // patterns)
-    for k in range(blocks):
-        block = induced.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else induced
-        block = np.sort(block.toArrow()["pattern"].to_numpy().view(np.uint64))
-        if len(block):
-            send = docs.sparkSession.sparkContext.broadcast(block)
-            found = checkpoint(rows.transform(mapped, _slots(send), "pattern long, instance long, n long, doc_id long, __key long, start long, end long"))
-            slots = found if slots is None else slots.unionByName(found)
+    none = base.select("doc_id", "base", F.col("base").alias("spans"))
+    slots, blocks = _in_blocks(rows, induced, patterns, _slots, "pattern long, instance long, n long")
+    if slots is None:
+        return none
     known = seeds.select(F.col("instance").alias("__seed")).distinct()
     pairs = slots.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(known, F.col("instance") == F.col("__seed"), "left")
     pairs = checkpoint(pairs.select("pattern", "instance", "n", F.col("__seed").isNotNull().alias("seed")))
     confidence, belief = score_graph(pairs, few=blocks == 1)
-    good = confidence.where(F.col("confidence") >= CONFIDENT).select(F.col("pattern").alias("__p"))
-    sure = checkpoint(belief.where(F.col("belief") >= BELIEVED).select(F.col("instance").alias("__i")))
-    found = slots.where("instance is not null").join(F.broadcast(good) if blocks == 1 else good, F.col("pattern") == F.col("__p"), "left_semi").join(sure, F.col("instance") == F.col("__i"), "left_semi")
+    good = checkpoint(confidence.where(F.col("confidence") >= CONFIDENT).select("pattern", "confidence"))
+    found, blocks = _in_blocks(rows, good.select("pattern"), patterns, _found, "pattern long, instance long, like long, first long, doc_id long, __key long, start long, end long")
+    if found is None:
+        return none
+    small = F.broadcast if blocks == 1 else lambda df: df
+    sure = belief.where(F.col("belief") >= BELIEVED).select("instance", F.lit(1).cast("long").alias("like"))
+    # words of any form: by their patterns, and by how many of their occurrences are in these slots
+    held = found.where("like = 0").groupBy("instance", "pattern").agg(F.sum("first").alias("n")).join(small(good), "pattern")
+    doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))
+    held = checkpoint(held.groupBy("instance").agg((1 - doubt).alias("belief"), F.sum("n").alias("n")).where(F.col("belief") >= BELIEVED))
+    every, _ = _in_blocks(rows, held.select("instance"), patterns, _occurrences, "instance long, n long")
+    if every is not None:
+        every = every.groupBy("instance").agg(F.sum("n").alias("all"))
+        sure = sure.unionByName(held.join(every, "instance").where(F.col("belief") * F.col("n") / F.col("all") >= BELIEVED).select("instance", F.lit(0).cast("long").alias("like")))
+    found = found.join(sure, ["instance", "like"], "left_semi")
     span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"))
     found = checkpoint(found.groupBy("doc_id", "__key").agg(F.collect_set(span).alias("more")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "more"))
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__of")), "left")
