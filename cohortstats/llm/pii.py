@@ -165,13 +165,17 @@ class _Fills:
         self.like = (self.digits[self.ends[self.last]] - self.digits[self.starts] >= 4) | (ats[self.ends] > ats[self.starts])
         self.inside = np.zeros(len(self.h), bool)
         self.seeds: dict[int, tuple[int, int]] = {}
+        self.taken = np.zeros(len(raw) + 1, np.int32)  # bytes of base spans before each byte
 
     def place_seeds(self, docs: np.ndarray) -> None:
         """Words that begin a seed stand for all of it; its other words fill nothing."""
+        change = np.zeros(len(self.raw) + 1, np.int32)
         for k in docs.tolist():
             zero, low, high = int(self.at[k]), int(self.bounds[k]), int(self.bounds[k + 1])
             text = self.raw[zero : self.at[k + 1]].tobytes()
             for s, _, e in base_spans(text):
+                change[zero + s] += 1
+                change[zero + e] -= 1
                 f = low + int(np.searchsorted(self.starts[low:high], zero + s, "right")) - 1
                 if text[self.starts[f] - zero : s].strip(_AROUND) or f in self.seeds and self.seeds[f][1] >= zero + e:
                     continue
@@ -180,6 +184,7 @@ class _Fills:
                 self.like[f] = True
         for f in self.seeds:
             self.inside[f + 1 : self.last[f] + 1] = True
+        self.taken[1:] = np.cumsum(np.cumsum(change[:-1]) > 0)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         return _contexts(self.h, np.arange(len(self.h)), self.last, self.bounds[self.doc], self.bounds[self.doc + 1])
@@ -241,7 +246,7 @@ def _slots(send):
 
 
 def _found(send):
-    """What fills the slots of the patterns, with its place; ``first`` is 0 where a place was given before."""
+    """What fills the slots of the patterns and is no base span, with its place; ``first`` is 0 where a place was given before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = send.value
@@ -256,10 +261,11 @@ def _found(send):
                     cores = _cores(raw, fills.starts[found], fills.ends[found]).view(np.int64)
                     for w, p, core in zip(found.tolist(), pattern.tolist(), cores.tolist(), strict=True):
                         a, b = fills.span(w)
-                        if a < b:
+                        free = fills.taken[a] == fills.taken[b]
+                        if a < b and (free or not fills.like[w]):
                             like, k = bool(fills.like[w]), first + int(fills.doc[w])
                             zero = points[at[fills.doc[w]]]
-                            rows.append((p, _instance(raw[a:b].tobytes()) if like else core, int(like), int(w not in seen), ids[k].as_py(), keys[k].as_py(), int(points[a] - zero), int(points[b] - zero)))
+                            rows.append((p, _instance(raw[a:b].tobytes()) if like else core, int(like), int(w not in seen), ids[k].as_py(), keys[k].as_py(), int(points[a] - zero) if free else None, int(points[b] - zero)))
                             seen.add(w)
             yield _long(list(zip(*rows, strict=True)) if rows else [[]] * 8, ["pattern", "instance", "like", "first", "doc_id", "__key", "start", "end"])
 
@@ -353,12 +359,11 @@ def find_personal(docs: DataFrame, min_seeds: int = MIN_SEEDS, patterns: int = P
     if every is not None:
         every = every.groupBy("instance").agg(F.sum("n").alias("all"))
         sure = sure.unionByName(held.join(every, "instance").where(F.col("belief") * F.col("n") / F.col("all") >= BELIEVED).select("instance", F.lit(0).cast("long").alias("like")))
-    found = found.join(sure, ["instance", "like"], "left_semi")
+    found = found.where("start is not null").join(sure, ["instance", "like"], "left_semi")
     span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"))
     found = checkpoint(found.groupBy("doc_id", "__key").agg(F.collect_set(span).alias("more")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "more"))
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__key").eqNullSafe(F.col("__of")), "left")
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart))).alias("spans"))
+    return joined.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
 def _written(spans: str):
