@@ -143,10 +143,18 @@ def _links(r: random.Random, n: int, tag: str = "li") -> str:
     return "".join(f'<{tag}><a href="/{_word(r)}">{" ".join(_word(r) for _ in range(r.randint(1, 4)))}</a></{tag}>' for _ in range(n))
 
 
+def _row_of_links(r: random.Random) -> str:
+    between = r.choice((" ", " | ", "<br>", " - "))
+    return r.choice(("", f"{_word(r).capitalize()}: ")) + between.join(f'<a href="{_word(r)}.html">{_word(r)}</a>' for _ in range(r.randint(2, 8)))
+
+
 def _clutter(r: random.Random, kind: str) -> str:
     """An element that is not main text, of a kind."""
 
     prose = _prose(r, 1, 3)
+    if kind in ("nav", "share") and r.random() < 0.25:  # links alone, with no name that tells
+        tag, named = r.choice(("div", "div", "p", "ul")), r.choice(("", f' class="{_word(r)}"'))
+        return f'<{tag} data-y="0"{named}>{_row_of_links(r)}</{tag}>'
 
     def box(tags: str, names: str, inner: str) -> str:
         tag = r.choice(tags.split())
@@ -220,6 +228,9 @@ def training_page(r: random.Random) -> str:
         main = f'<{tag}{f""" class="{name}" """ if name else ""}>{main}</{tag}>'
     if r.random() < 0.3:
         main = f'<div class="{r.choice(("wrapper", "container", "page", "main", "row"))}">{main}</div>'
+    if r.random() < 0.1:  # laid out as a table
+        ends = f'<tr><td data-y="0" colspan="2">{r.choice(("&copy;", "Copyright"))} {r.randint(1996, 2025)} {_sentence(r, 1, 6)}</td></tr>' if r.random() < 0.7 else ""
+        main = f'<table width="100%"><tr><td data-y="0">{_row_of_links(r)}</td><td>{main}</td></tr>{ends}</table>'
     ahead = [_clutter(r, k) for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < (0.7 if k == "nav" else 0.35)]
     after = [_clutter(r, k) for k in ("share", "comments", "aside", "ad", "form", "nav", "footer", "notice") if r.random() < (0.75 if k == "footer" else 0.25)]
     r.shuffle(ahead)
