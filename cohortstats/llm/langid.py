@@ -6,7 +6,7 @@ model is built and sent in blocks by the two symbols in the middle of a four-gra
 its contexts and lower orders share: a block holds all that scores its four-grams. The
 orders of a block lie in arrays sorted by hash, with one column of log probabilities a
 language, so one binary search a character scores all languages. A document gets the language of the lowest cross-entropy a character; what
-that is worth, and which documents are rejected, is calibrated on training documents.
+that is worth, and which documents are rejected, is calibrated on all training documents.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_value, checkpoint, chunks, mapped, mix, table, utf8
+from .importance import kth_largest
 
 #: Bytes of a block of the model, about. All types are in some block; a task holds one block at a time.
 BLOCK_BYTES = 64 << 20
 #: Symbols that a task scores by one block before it turns to the next.
 SYMBOLS = 2 << 20
-#: Training documents that calibrate, about.
-CALIBRATION_ROWS = 4_000
-#: Share of good calibration documents that may be rejected.
+#: Share of the training documents told right that may be rejected.
 REJECT = 0.0005
+#: How steep a score can be.
+STEEPS = 2.0 ** np.arange(-4, 5, 0.5)
 
 _SPACE, _OTHER = 32, 0xFFFF
 _TABLE: dict = {}
@@ -330,28 +331,63 @@ def train(docs: DataFrame) -> Blocks | None:
     return Blocks(langs, firsts, sends)
 
 
+def _evidence(batch: pa.RecordBatch, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scored rows: each language's bits, the symbols scored, and which language is true."""
+    bits = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    true = pa.compute.index_in(batch.column(0), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+    return bits, batch.column(1).to_numpy(zero_copy_only=False), true
+
+
+def _losses(langs: list[str]):
+    """Log losses by steepness, summed as whole numbers, so that no order of the rows changes a sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, n, true = _evidence(batch, langs)
+            sums = []
+            for steep in STEEPS:
+                p = _posterior(bits, n, steep)
+                loss = -np.log(np.maximum(p[np.arange(len(p)), true], 1e-6))
+                sums.append(int(np.round(loss * 2.0**40).astype(np.int64).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(STEEPS), dtype=np.int32)), pa.array(sums, pa.int64()), pa.array([len(n)] * len(STEEPS), pa.int64())], names=["k", "loss", "n"])
+
+    return run
+
+
+def _told(langs: list[str], steep: float):
+    """Of rows whose language is told right, its score and bits, as longs that sort alike (neither is negative)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, n, true = _evidence(batch, langs)
+            p = _posterior(bits, n, steep)
+            good = p.argmax(1) == true
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (p[good].max(1), bits[good].min(1))], names=["score", "bits"])
+
+    return run
+
+
 def _calibrate(docs: DataFrame, model: Blocks) -> tuple[float, float, float]:
-    """How steep the score is in the gap of cross-entropies, the least score and the most bits that are accepted."""
+    """How steep the score is in the gap of cross-entropies, the least score and the most bits that are accepted.
+
+    Every training document with a letter counts. Both limits are exact order statistics.
+    """
     langs = model.langs
-    labelled = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    rows = labelled.agg(F.count("*")).first()[0]
-    every = max(1, rows // CALIBRATION_ROWS)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(every)) == 0).select("text", F.col("lang").cast("string").alias("lang"))
-    got = sample.transform(mapped, _score(model), "lang string, __n long, __letters long, __bits array<double>").where("__letters > 0").limit(4 * CALIBRATION_ROWS).collect()
-    if len(got) < 20 or len(langs) < 2:
+    if len(langs) < 2:
+        return 1.0, 0.0, float("inf")
+    labelled = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
+    scored = checkpoint(labelled.transform(mapped, _score(model), "lang string, __n long, __letters long, __bits array<double>").where("__letters > 0"))
+    losses = scored.transform(mapped, _losses(langs), "k int, loss long, n long").groupBy("k").agg(F.sum(F.col("loss").cast("decimal(20,0)")).alias("loss"), F.sum("n").alias("n")).collect()
+    if not losses or losses[0].n < 20:
         return 1.0, 0.0, float("inf")
-    bits, n, true = np.array([r["__bits"] for r in got]), np.array([r["__n"] for r in got]), np.array([langs.index(r.lang) for r in got])
-    best = None
-    for steep in 2.0 ** np.arange(-4, 5, 0.5):
-        p = _posterior(bits, n, steep)
-        loss = -np.log(np.maximum(p[np.arange(len(p)), true], 1e-6)).mean()
-        if best is None or loss < best[0]:
-            best = loss, steep
-    p = _posterior(bits, n, best[1])
-    good = p.argmax(1) == true
-    least = float(np.quantile(p[good].max(1), REJECT)) if good.any() else 0.0
-    most = float(np.quantile(bits[good].min(1), 1 - REJECT)) if good.any() else float("inf")
-    return float(best[1]), min(least, 0.5) * 0.9, most * 1.5
+    steep = float(STEEPS[min(losses, key=lambda r: (r.loss, r.k)).k])
+    told = checkpoint(scored.transform(mapped, _told(langs, steep), "score long, bits long"))
+    good = told.count()
+    if not good:
+        return steep, 0.0, float("inf")
+    rank = int(REJECT * (good - 1)) + 1
+    least, most = (float(np.int64(kth_largest(told, k, name)).view(np.float64)) for name, k in (("score", good + 1 - rank), ("bits", rank)))
+    return steep, min(least, 0.5) * 0.9, most * 1.5
 
 
 def _posterior(bits: np.ndarray, n: np.ndarray, steep: float) -> np.ndarray:

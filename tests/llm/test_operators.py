@@ -376,6 +376,27 @@ def test_language_models_hold_all_types(spark, monkeypatch, block):
         assert got[i] == (pytest.approx(want, abs=1e-5) if t else None)
 
 
+def test_calibration_takes_every_training_document(spark):
+    r = random.Random(14)
+    make = {"aa": "ka lo mi pa re su", "bb": "ka lu mo po ri se"}
+    rows = [(i, " ".join(r.choice(make[k].split()) for _ in range(r.randint(1, 4))), k) for i, k in enumerate(["aa", "bb"] * 6400)]
+    rows += [(20_000 + i, " ".join(r.choice("qx zw vy jh".split()) for _ in range(i % 7 + 1)), "bb") for i in range(9)]
+    rows += [(30_000, None, "aa"), (30_001, "12 34", "aa"), (None, "ka lo", "aa"), (30_002, "ka", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(d)
+    labelled = d.where("text is not null and lang is not null").where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
+    got = labelled.transform(langid.mapped, langid._score(model), "lang string, n long, letters long, bits array<double>").where("letters > 0").collect()
+    assert len(got) > 9000
+    bits, n, true = np.array([x.bits for x in got]), np.array([x.n for x in got]), np.array([model.langs.index(x.lang) for x in got])
+    at = np.arange(len(got))
+    steep = min(2.0 ** np.arange(-4, 5, 0.5), key=lambda s: -np.log(np.maximum(langid._posterior(bits, n, s)[at, true], 1e-6)).mean())
+    p = langid._posterior(bits, n, steep)
+    good = p.argmax(1) == true
+    least = np.quantile(p[good].max(1), langid.REJECT, method="lower")
+    most = np.quantile(bits[good].min(1), 1 - langid.REJECT, method="higher")
+    assert langid._calibrate(d, model) == pytest.approx((steep, min(least, 0.5) * 0.9, most * 1.5), rel=1e-9)
+
+
 # ---- neighbours
 
 
