@@ -11,6 +11,10 @@
    back is one row a group and task. Windows merge into maximal removal intervals, and
    the words outside of them are kept.
 
+Buckets and groups follow the input's size and not the session's partitions, to which they
+are dealt in turn; few are enough then, and the rows that are sent stay few where partitions
+are many.
+
 The hash has 64 bits: a window out of N is wrongly seen as repeated with a chance
 of about N / 2**64. Entries pack 7 bytes of hash, as the bucket has the eighth. (As rows of
 Spark, a hash and an id each, the entries alone take 3.5 times the input's disk.)
@@ -26,11 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, by_value, chunks, covered, groups, mapped, partitions_for, runs, table, utf8, window_hashes, word_hashes, words
+from .common import NON_SPACE, by_value, chunks, covered, groups, input_bytes, mapped, partitions_for, runs, table, utf8, window_hashes, word_hashes, words
 
 WINDOW = 13
-#: Buckets and groups of documents for each partition: many, so that partitions are alike.
-BUCKETS_EACH, GROUPS_EACH = 16, 32
+#: Buckets and groups of documents for each ``PART_BYTES`` of input, and the fewest groups.
+BUCKETS_EACH, GROUPS_EACH, GROUPS_LEAST = 4, 4, 16
+PART_BYTES = 16 << 20
 #: Text whose windows are held at once.
 GROUP_BYTES = 8 << 20
 _ENTRY = pa.schema([("__bucket", pa.int32()), ("__to", pa.int32()), ("__blob", pa.binary())])
@@ -247,15 +252,17 @@ def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     Repeated ids: not smaller than each other, so rows of one id never remove one
     another. Other columns play no part. An empty table gives an empty result.
     """
-    parts = partitions_for(docs)
-    to_groups, buckets = GROUPS_EACH * parts + 1, max(256, 1 << (BUCKETS_EACH * parts - 1).bit_length())
+    parts = partitions_for(docs, PART_BYTES)
+    in_bytes = input_bytes(docs)
+    sized = parts if in_bytes >= 1 << 53 else min(parts, max(1, -(-in_bytes // PART_BYTES)))
+    to_groups, buckets = max(GROUPS_LEAST, GROUPS_EACH * sized) + 1, max(256, 1 << (BUCKETS_EACH * sized - 1).bit_length())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__words"))
     found = rows.select(F.col("doc_id").alias("__doc"), "__text", "__words").transform(mapped, _entries(size, to_groups, buckets), "__bucket int, __to int, __blob binary")
-    flags = found.repartition(parts, "__bucket").transform(mapped, _owners(to_groups), "__to int, __local boolean, __blob binary")
+    flags = found.repartitionById(parts, "__bucket").transform(mapped, _owners(to_groups), "__to int, __local boolean, __blob binary")
     no = lambda kind: F.lit(None).cast(kind)
     flags = flags.select("__to", F.lit(0).alias("__kind"), "__local", no("long").alias("doc_id"), no("long").alias("__text"), no("string").alias("__words"), "__blob")
     texts = rows.where("doc_id is not null").select(_group_column("doc_id", to_groups).alias("__to"), F.lit(1).alias("__kind"), no("boolean").alias("__local"), "doc_id", "__text", "__words", no("binary").alias("__blob"))
-    met = flags.union(texts).repartition(parts, "__to").sortWithinPartitions("__to", "__kind")
+    met = flags.union(texts).repartitionById(parts, "__to").sortWithinPartitions("__to", "__kind")
     # rows without an id have nothing to meet and stay where they are
     alone = rows.where("doc_id is null").select(F.lit(0).alias("__to"), F.lit(1).alias("__kind"), no("boolean").alias("__local"), "doc_id", "__text", "__words", no("binary").alias("__blob"))
     return met.union(alone).transform(mapped, _remove(size), "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>")

@@ -77,6 +77,41 @@ def test_substring_dedup(docs, empty, size):
     assert substring_dedup.substring_dedup(empty, size).count() == 0
 
 
+def test_substring_rows_sent_back_grow_with_partitions_and_not_with_their_square(spark, tmp_path, monkeypatch):
+    r = random.Random(15)
+    same = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    rows = [(k * 1000 + i, t) for k in range(8) for i, t in enumerate(same)]
+    for k in range(8):  # copies lie in different files, so no task decides them all by itself
+        spark.createDataFrame(rows[k * 400 : (k + 1) * 400], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    real, sent = substring_dedup._owners, {}
+
+    def counting(rows_sent):
+        def owners(*args):
+            run = real(*args)
+
+            def counted(batches):
+                for batch in run(batches):
+                    rows_sent.add(batch.num_rows)
+                    yield batch
+
+            return counted
+
+        return owners
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows_sent = spark.sparkContext.accumulator(0)
+            monkeypatch.setattr(substring_dedup, "_owners", counting(rows_sent))
+            got = {x.doc_id: x.n_removed for x in substring_dedup.substring_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()}
+            assert got == {i: 0 if i < 1000 else 60 for i, _ in rows}
+            sent[parts] = rows_sent.value
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < sent[64] <= 16 * sent[4], sent
+
+
 def test_substring_intervals_are_maximal(spark):
     w = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(w)), (2, "a " + " ".join(w[5:30]) + " b " + " ".join(w[40:55]))]
